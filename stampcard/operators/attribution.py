@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from stampcard.functions.dates import month_index
 from stampcard.operators.features import not_returned
 
 
@@ -30,8 +29,7 @@ def redemption_days(rdm: DataFrame, start: dt.date, whole_month: bool = False) -
     from stampcard.sources.scans import scan_month_column
 
     kept = scan_month_column(rdm, start, whole_month=whole_month).where(not_returned())
-    days = kept.groupBy("cust_id", "redemption_date").agg()
-    return days.groupBy("cust_id").agg(F.sort_array(F.collect_list("redemption_date")).alias("days"))
+    return kept.groupBy("cust_id").agg(F.sort_array(F.collect_set("redemption_date")).alias("days"))
 
 
 def send_windows(sends: DataFrame, start: dt.date, end: dt.date, *window: str) -> DataFrame:
@@ -68,16 +66,3 @@ def attribute_redemptions_horizon(sends: DataFrame, rdm: DataFrame, start: dt.da
     last = F.date_add("fecha_envio", days)
     hits = _flagged(windows, redemption_days(rdm, start, whole_month), F.col("fecha_envio"), last)
     return hits.select("fecha_envio", "nombre_campanha", "gmgc", "cust_id", F.col("hit").alias("canjeo_5d"))
-
-
-def interval_join(windows: DataFrame, events: DataFrame, key: str, first: str, last: str, day: str) -> DataFrame:
-    """Inner join of windows and events of one key with ``first <= day <= last``.
-
-    Both sides are also keyed by month: a window is repeated for each month it touches, an event has one
-    month. That keeps the join an equi-join, spreads a busy customer over months and pairs a window only
-    with events of its own months.
-    """
-    months = F.sequence(month_index(F.col(first)), month_index(F.col(last)))
-    by_month = windows.where(F.col(first) <= F.col(last)).withColumn("_month", F.explode(months))
-    keyed = events.withColumn("_month", month_index(F.col(day)))
-    return by_month.join(keyed, [key, "_month"]).where(F.col(day).between(F.col(first), F.col(last))).drop("_month")

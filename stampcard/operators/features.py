@@ -132,6 +132,18 @@ def client_snapshot(clients: DataFrame, t0: dt.date) -> DataFrame:
     )
 
 
+def client_type(clients: DataFrame) -> DataFrame:
+    """BANCO with one or both card products, else OMP with the open-loop product, else null.
+
+    Only known flag pairs count as a card customer: a missing partner flag matches nothing.
+    """
+    first, second = F.col("cust_active_cmr_flg"), F.col("cust_active_deb_flg")
+    known = first.isin("Y", "N") & second.isin("Y", "N")
+    holds_card = known & ((first == "Y") | (second == "Y"))
+    kind = F.when(holds_card, "BANCO").when(F.col("cust_active_omp_flg") == "Y", "OMP")
+    return clients.withColumn("tipo_cliente", kind)
+
+
 def dominant_channel(channels: list[str]) -> Column:
     """Channel with the highest spend; ties go to the earlier one in the list, no spend to a label."""
     spends = [F.col(spend_column(name)) for name in channels]

@@ -35,13 +35,12 @@ def first_match(rules: list[tuple[str, Column]], otherwise: Column | None = None
 def month_end_asof(daily: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Each daily row with the customer's state at the previous month end (``*_cierre``, null if absent)."""
     closes = snapshots.where(is_month_end(F.col("partition_date"))).select(
-        "cust_id",
+        F.col("cust_id").alias("_close_cust"),
         F.col("partition_date").alias("partition_cierre"),
         *[F.col(name).alias(f"{name}_cierre") for name in _CLOSE_COLUMNS],
     )
-    asked = daily.withColumn("_close", prev_month_end(F.col("partition_date")))
-    on = (asked["cust_id"] == closes["cust_id"]) & (asked["_close"] == closes["partition_cierre"])
-    return asked.join(closes, on, "left").drop(closes["cust_id"]).drop("_close")
+    same = (F.col("cust_id") == F.col("_close_cust")) & (prev_month_end(F.col("partition_date")) == F.col("partition_cierre"))
+    return daily.join(closes, same, "left").drop("_close_cust")
 
 
 def snapshots_from(snapshots: DataFrame, start) -> tuple[DataFrame, DataFrame]:
