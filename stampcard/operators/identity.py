@@ -11,8 +11,10 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from stampcard.functions.text import squash
+from stampcard.session import materialize
 
 _MATCH = ["name_key", "email", "fecha_envio"]
+_SEND = ["fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "inicio_vigencia", "fin_vigencia"]
 
 
 def mail_campaigns(mail: DataFrame, jobs: DataFrame, start: dt.date) -> DataFrame:
@@ -71,36 +73,52 @@ def recipient_match(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: d
     return matched.select(*kept, "email", (F.col("n_sends") * F.col("deliveries")).alias("n_matches"))
 
 
+def _tagged_sends(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Distinct sends with their count and, where their address was reached, the number of matches there."""
+    ranged = _keyed(sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end))))
+    rows = ranged.groupBy(*_SEND, "name_key", "email", "rut").agg(F.count(F.lit(1)).alias("n"))
+    per_address = rows.groupBy(*_MATCH).agg(
+        F.sum("n").alias("n_sends"), (F.min("rut") == F.max("rut")).alias("one_customer")
+    )
+    reached = per_address.join(deliveries_per_address(mail, jobs, start), _MATCH).select(
+        *_MATCH, "deliveries", "one_customer", (F.col("n_sends") * F.col("deliveries")).alias("n_matches")
+    )
+    return rows.join(reached, _MATCH, "left")
+
+
+def identity_rows(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Measured customer and weight per send; a customer reached at several addresses has several rows.
+
+    The tagged sends are stored once, as two branches read them. Sends at an address of one customer, nearly
+    all of them, keep that customer and need no further join.
+    """
+    tagged = materialize(_tagged_sends(sends, mail, jobs, start, end), "tagged-sends")
+    treated = F.coalesce(F.col("gmgc") == "GM", F.lit(False))
+    moved = treated & F.col("n_matches").isNotNull() & ~F.coalesce("one_customer", F.lit(True))
+    own = tagged.where(~moved).select(
+        *_SEND, F.col("rut").alias("rut_medicion"), (F.col("n") * F.coalesce("n_matches", F.lit(1))).alias("weight")
+    )
+    shared = tagged.where(F.col("n_matches").isNotNull() & ~F.col("one_customer"))
+    customers = shared.groupBy(*_MATCH, F.col("rut").alias("rut_medicion")).agg(
+        (F.sum("n") * F.max("deliveries")).alias("n_reached")
+    )
+    per_address = tagged.where(moved).groupBy(*_SEND, "name_key", "email").agg(F.sum("n").alias("n"))
+    shifted = per_address.join(customers, _MATCH).select(
+        *_SEND, "rut_medicion", (F.col("n") * F.col("n_reached")).alias("weight")
+    )
+    return own.unionByName(shifted)
+
+
 def measurement_identity(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date,
                          dedupe: bool = False) -> DataFrame:
     """Sends with the customer they are measured on (``rut_medicion``) and a fan-out ``weight``.
 
     A treated send of a campaign that was mailed is measured on every customer reached at its address, others
-    on their own customer. The weight is the number of rows a row-by-row match would give. Treated sends are
-    counted per address before they meet the reached customers: an address shared by many customers gives one
-    row per customer, not one per pair. ``dedupe=True`` sets all weights to 1.
+    on their own customer. An address match implies that the campaign was mailed that day, so the campaign needs no
+    separate test. The weight is the number of rows a row-by-row match would give; treated sends are
+    counted per address before they meet the customers reached there, so an address shared by many customers gives
+    one row per customer, not one per pair. ``dedupe=True`` sets all weights to 1.
     """
-    window = ["fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "inicio_vigencia", "fin_vigencia"]
-    keyed = _keyed(sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end))))
-    rows = keyed.groupBy(*window, "name_key", "email", "rut").agg(F.count(F.lit(1)).alias("n"))
-
-    deliveries = deliveries_per_address(mail, jobs, start)
-    per_customer = rows.groupBy(*_MATCH, "rut").agg(F.sum("n").alias("n_sends"))
-    reached = per_customer.join(deliveries, _MATCH).select(
-        *_MATCH, F.col("rut").alias("rut_medicion"), (F.col("n_sends") * F.col("deliveries")).alias("n_reached")
-    )
-    reach_total = reached.groupBy(*_MATCH).agg(F.sum("n_reached").alias("n_total"))
-
-    # An address match implies that the campaign was mailed on that day, so no separate campaign test is needed.
-    weighed = rows.join(reach_total, _MATCH, "left")
-    treated = F.coalesce(F.col("gmgc") == "GM", F.lit(False))
-    moved = treated & F.col("n_total").isNotNull()
-    own = weighed.where(~moved).select(
-        *window, F.col("rut").alias("rut_medicion"), (F.col("n") * F.coalesce("n_total", F.lit(1))).alias("weight")
-    )
-    per_address = weighed.where(moved).groupBy(*window, "name_key", "email").agg(F.sum("n").alias("n"))
-    shifted = per_address.join(reached, _MATCH).select(
-        *window, "rut_medicion", (F.col("n") * F.col("n_reached")).alias("weight")
-    )
-    out = own.unionByName(shifted).groupBy(*window, "rut_medicion").agg(F.sum("weight").alias("weight"))
-    return out.withColumn("weight", F.lit(1).cast("bigint")) if dedupe else out
+    rows = identity_rows(sends, mail, jobs, start, end)
+    merged = rows.groupBy(*_SEND, "rut_medicion").agg(F.sum("weight").alias("weight"))
+    return merged.withColumn("weight", F.lit(1).cast("bigint")) if dedupe else merged

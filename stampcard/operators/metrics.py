@@ -6,10 +6,9 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from stampcard.operators.attribution import first_redemption, redemption_daily
-from stampcard.operators.identity import measurement_identity
-from stampcard.operators.intervals import interval_join
-from stampcard.operators.lifecycle import funnel_group, needed_states, state_at, states_on
+from stampcard.operators.features import not_returned
+from stampcard.operators.identity import identity_rows, measurement_identity
+from stampcard.operators.lifecycle import funnel_group, states_on
 
 # Labels of the cube.
 NO_CHANNEL_LABEL = "NO CANJE"
@@ -25,13 +24,27 @@ def redeemer_history(first: Column, send_date: Column) -> Column:
     return F.when(first < send_date, KNOWN_REDEEMER).otherwise(NEW_REDEEMER)
 
 
-def window_redemptions(identity: DataFrame, daily: DataFrame) -> DataFrame:
-    """Redemptions and points per measured customer, window and channel."""
-    windows = identity.select(F.col("rut_medicion").alias("cust_id"), "inicio_vigencia", "fin_vigencia").distinct()
-    hits = interval_join(windows, daily, "cust_id", "inicio_vigencia", "fin_vigencia", "redemption_date")
-    return hits.groupBy("cust_id", "inicio_vigencia", "fin_vigencia", "bu_channel_name").agg(
-        F.sum("canjes").alias("canjes"), F.sum("puntos_canjeados").alias("puntos")
-    ).withColumnRenamed("cust_id", "rut_medicion")
+def customer_redemptions(rdm: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """First redemption ever and the daily redemptions of [start, end], one row per customer.
+
+    Redemptions shrink to one entry per day and channel before they are gathered, so a list is bounded by the days
+    of the range times the few channels, however many redemptions a customer has.
+    """
+    daily = rdm.where(not_returned()).groupBy("cust_id", "redemption_date", "bu_channel_name").agg(
+        F.count("redemption_id_unico").alias("canjes"), F.sum("redemption_points_amt").alias("puntos")
+    )
+    entry = F.struct("redemption_date", "bu_channel_name", "canjes", "puntos")
+    in_range = F.col("redemption_date").between(F.lit(start), F.lit(end))
+    return daily.groupBy("cust_id").agg(
+        F.min("redemption_date").alias("primer_canje"), F.collect_list(F.when(in_range, entry)).alias("entries")
+    )
+
+
+def customer_states(states: DataFrame) -> DataFrame:
+    """Known states by day, one row per customer; at most one entry per day asked for."""
+    known = states.where(F.col("tipo_canjeador").isNotNull())
+    entries = F.collect_list(F.struct("partition_date", "tipo_canjeador"))
+    return known.groupBy("cust_id").agg(F.map_from_entries(entries).alias("states"))
 
 
 def send_days(sends: DataFrame) -> DataFrame:
@@ -45,31 +58,36 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
     """Metrics cube of the sends in [start, end].
 
     Sums carry the fan-out weight of the identity match and a customer with two channels counts once in each, as
-    in a row-by-row match; ``dedupe=True`` leaves the fan-out out of the sums.
+    in a row-by-row match; ``dedupe=True`` leaves the fan-out out of the sums. Redemptions and states come as one row
+    per customer, so both joins share one partitioning by customer and no send is paired with single events.
     """
     ranged = sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end)))
-    identity = measurement_identity(ranged, mail, jobs, start, end, dedupe)
-    redeemed = window_redemptions(identity, redemption_daily(rdm, start, end)).withColumn("redeemed", F.lit(True))
-    firsts = first_redemption(rdm).withColumnRenamed("cust_id", "rut_medicion")
-    states = states_on(snapshots, send_days(ranged), start)
-
-    rows = identity.join(redeemed, ["rut_medicion", "inicio_vigencia", "fin_vigencia"], "left")
-    rows = rows.join(firsts, "rut_medicion", "left")
-    rows = state_at(rows, states, "inicio_vigencia", "state_pre", "rut_medicion")
-    rows = state_at(rows, states, "fin_vigencia", "state_post", "rut_medicion")
+    identify = measurement_identity if dedupe else identity_rows
+    rows = identify(ranged, mail, jobs, start, end, *([True] if dedupe else []))
+    redeemed = customer_redemptions(rdm, start, end).withColumnRenamed("cust_id", "rut_medicion")
+    states = customer_states(states_on(snapshots, send_days(ranged), start)).withColumnRenamed("cust_id", "rut_medicion")
+
+    joined = rows.join(redeemed, "rut_medicion", "left").join(states, "rut_medicion", "left")
+    in_window = F.filter("entries", lambda e: e["redemption_date"].between(F.col("inicio_vigencia"), F.col("fin_vigencia")))
+    rows = joined.select(
+        "fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "rut_medicion", "weight", "primer_canje",
+        F.try_element_at("states", F.col("inicio_vigencia")).alias("state_pre"),
+        F.try_element_at("states", F.col("fin_vigencia")).alias("state_post"),
+        F.explode_outer(in_window).alias("hit"),
+    )
     keyed = rows.select(
         F.col("fecha_envio").alias("FECHA_ENVIO"),
         F.col("nombre_campanha").alias("NOMBRE_CAMPANHA"),
         F.col("tipo_cliente").alias("TIPO_CLIENTE"),
-        F.coalesce("bu_channel_name", F.lit(NO_CHANNEL_LABEL)).alias("CANAL_CANJE"),
+        F.coalesce("hit.bu_channel_name", F.lit(NO_CHANNEL_LABEL)).alias("CANAL_CANJE"),
         F.col("gmgc").alias("GMGC"),
-        F.when(F.col("redeemed"), "CANJEO").otherwise("NO CANJEO").alias("FLAG_CANJE"),
+        F.when(F.col("hit").isNotNull(), "CANJEO").otherwise("NO CANJEO").alias("FLAG_CANJE"),
         redeemer_history(F.col("primer_canje"), F.col("fecha_envio")).alias("TIPO"),
         funnel_group(F.col("state_pre")).alias("GRUPO_CANJE_PRE"),
         funnel_group(F.col("state_post")).alias("GRUPO_CANJE_POST"),
         "rut_medicion",
-        (F.col("canjes") * F.col("weight")).alias("canjes"),
-        (F.col("puntos") * F.col("weight")).alias("puntos"),
+        (F.col("hit.canjes") * F.col("weight")).alias("canjes"),
+        (F.col("hit.puntos") * F.col("weight")).alias("puntos"),
     )
     return keyed.groupBy(*CUBE_KEYS).agg(
         F.countDistinct("rut_medicion").alias("CLIENTES"),

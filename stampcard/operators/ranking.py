@@ -16,12 +16,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Position = namedtuple("Position", "position value tie")
-_MAX_BUCKETS = 1000
+_MIN_BUCKETS, _MAX_BUCKETS = 200, 1000
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(wanted, _MAX_BUCKETS))
+    if buckets:
+        return max(2, buckets)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(max(partitions, _MIN_BUCKETS), _MAX_BUCKETS)
 
 
 class _Cuts:
