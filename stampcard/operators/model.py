@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stampcard.functions.dates import send_calendar
 from stampcard.functions.text import MODEL_TRUE, truthy
-from stampcard.operators.evaluation import prior_correct, prior_ratio, rescale_to_rate
+from stampcard.operators.evaluation import prior_correct, prior_ratio, rescale_to_rate, score_counts
 from stampcard.operators.ranking import order_statistics
 
 # Model inputs by kind.
@@ -55,8 +55,7 @@ def downsample(df: DataFrame, label: str, keys: list[str], ratio: int = 5, seed:
         return df.where(F.col(label))
     (cut,) = order_statistics(hashed.where(~F.col(label)), "_hash", "_tie", [keep])
     below = (F.col("_hash") < cut.value) | ((F.col("_hash") == cut.value) & (F.col("_tie") <= cut.tie))
-    positives = df.where(F.col(label))
-    return positives.unionByName(hashed.where(~F.col(label) & below).drop("_hash", "_tie"))
+    return hashed.where(F.col(label) | (~F.col(label) & below)).drop("_hash", "_tie")
 
 
 def campaign_context(df: DataFrame, send_date: str = "fecha_envio", group: str = "gmgc") -> DataFrame:
@@ -153,9 +152,13 @@ def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
 
 
 def isotonic(df: DataFrame, p: str, label: str) -> IsotonicRegressionModel:
-    """Monotone map of scores to observed rates."""
-    fitted = df.withColumn("label", F.col(label).cast("double"))
-    return IsotonicRegression(featuresCol=p, labelCol="label").fit(fitted)
+    """Monotone map of scores to observed rates.
+
+    Rows of equal score are folded into one weighted point first; the fit is the same.
+    """
+    rows = F.col("pos") + F.col("neg")
+    points = score_counts(df, p, label).select("score", (F.col("pos") / rows).alias("rate"), rows.cast("double").alias("rows"))
+    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="rows").fit(points)
 
 
 def calibrate(model: IsotonicRegressionModel, df: DataFrame, p: str, base_rate: float, out: str = "cal") -> DataFrame:

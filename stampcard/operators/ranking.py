@@ -3,7 +3,7 @@
 All of them share one idea: approximate percentiles give literal cut points, rows are counted per
 bucket between cut points, and only then is anything ordered, inside one bucket. The cut points decide how
 even the buckets are, never the result. A value that holds many rows would fill a bucket of its own, so
-such values are cut again by the tie-break column; every bucket therefore holds about 1/``buckets`` of the rows.
+such values are cut again by the tie-break column.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Position = namedtuple("Position", "position value tie")
-_MIN_BUCKETS, _MAX_BUCKETS = 200, 1000
+_MIN_BUCKETS, _MAX_BUCKETS, _PIECES = 200, 1000, 16
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
@@ -30,24 +30,28 @@ class _Cuts:
     """Literal cut points of one value column and its tie-break column."""
 
     def __init__(self, value_points: list[float], tie_points: list[float]):
-        # A percentile that repeats marks a value holding more than one bucket's share of the rows. Beyond
-        # 2**53 distinct integers share a double, so there equality with a cut point proves nothing.
-        repeated = (v for v, times in Counter(value_points).items() if times > 1)
-        self.heavy = sorted(v for v in repeated if abs(v) < 2**53)
         self.value_edges = sorted(set(value_points))
         self.tie_edges = sorted(set(tie_points))
         self.width = len(self.tie_edges) + 2
+        # A percentile that repeats ``times`` marks a value holding about that many buckets' share of the rows. It is
+        # cut by the tie-break into some 16 pieces per share, which keeps the number of buckets in the order of the
+        # number of percentiles. Beyond 2**53 distinct integers share a double, so equality with a cut proves nothing.
+        self.heavy: dict[int, list[float]] = {}
+        for value, times in Counter(value_points).items():
+            if times > 1 and abs(value) < 2**53:
+                coarse = max(1, len(value_points) // (_PIECES * times))
+                self.heavy.setdefault(1 << (coarse.bit_length() - 1), []).append(value)
 
     def add_bucket(self, df: DataFrame, value: str, tie: str | None, out: str) -> DataFrame:
         """Add an order-preserving bucket number; heavy values come first in their value bucket."""
         value_bucket, tie_bucket = f"{out}_v", f"{out}_t"
         df = _bucketize(df, value, self.value_edges, value_bucket)
-        if tie is None or not self.heavy:
-            sub = F.lit(self.width - 1)
-        else:
+        sub = F.lit(self.width - 1)
+        if tie is not None and self.heavy:
             df = _bucketize(df, tie, self.tie_edges, tie_bucket)
-            is_heavy = F.col(value).cast("double").isin(self.heavy)
-            sub = F.when(is_heavy, F.col(tie_bucket)).otherwise(F.lit(self.width - 1))
+            for step, values in self.heavy.items():
+                piece = F.floor(F.col(tie_bucket) / step)
+                sub = F.when(F.col(value).cast("double").isin(values), piece).otherwise(sub)
         df = df.withColumn(out, (F.col(value_bucket) * self.width + sub).cast("bigint"))
         return df.drop(value_bucket, tie_bucket)
 
