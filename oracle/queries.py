@@ -219,8 +219,9 @@ SELECT o_orderkey, CAST(date_diff('day', d, DATE '2000-12-31') AS INT) AS days_t
   strftime(d, '%Y-%m') AS ym
 FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
     "g11_name_functions": """
-SELECT campaign_name, replace(campaign_name, ' ', '') AS squashed, replace(upper(trim(campaign_name)), ' ', '') AS camp_key,
-  regexp_replace(replace(upper(trim(campaign_name)), ' ', ''), '_[0-9]{8}$', '') AS base_key, lower(campaign_name) AS lowered FROM fx_email_metrics""",
+SELECT rut, fin_vigencia, replace(n, ' ', '') AS squashed, replace(upper(trim(n)), ' ', '') AS camp_key,
+  regexp_replace(replace(upper(trim(n)), ' ', ''), '_[0-9]{8}$', '') AS base_key, upper(email_corporativo) AS upper_email
+FROM (SELECT *, concat(' ', lower(nombre_campanha)) AS n FROM fx_sends)""",
     "g14_flags": """
 SELECT cust_id, CASE WHEN upper(contact_push_flg) IN ('1','TRUE','SI','YES','Y') THEN 1 ELSE 0 END AS contact_push_flg,
   CASE WHEN upper(contact_email_flg) IN ('1','TRUE','SI','YES','Y') THEN 1 ELSE 0 END AS contact_email_flg,

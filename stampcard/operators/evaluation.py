@@ -53,9 +53,8 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     from stampcard.session import materialize
 
     counts = materialize(score_counts(df, score, label), "score-counts")
-    upto = running_totals(counts, "score", ["pos", "neg"]).withColumns(
-        {"p": counts.agg(F.sum("pos")).scalar(), "n": counts.agg(F.sum("neg")).scalar()}
-    )
+    totals = counts.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
+    upto = running_totals(counts, "score", ["pos", "neg"]).withColumns({"p": totals["p"], "n": totals["n"]})
     below = F.col("neg_upto") - F.col("neg") / 2
     hits = F.col("p") - F.col("pos_upto") + F.col("pos")
     alarms = F.col("n") - F.col("neg_upto") + F.col("neg")

@@ -190,12 +190,24 @@ def states_on(snapshots: DataFrame, days: DataFrame, start) -> DataFrame:
     return canjeador(month_end_asof(wanted, closes)).select("partition_date", "cust_id", "tipo_canjeador")
 
 
-def state_at(sends: DataFrame, states: DataFrame, on_date: str, out: str, customer: str = "rut") -> DataFrame:
-    """Left as-of lookup of the state on ``on_date``."""
-    looked_up = states.select(
-        F.col("cust_id").alias(customer), F.col("partition_date").alias(on_date), F.col("tipo_canjeador").alias(out)
-    )
-    return sends.join(looked_up, [customer, on_date], "left")
+def customer_states(states: DataFrame) -> DataFrame:
+    """Known states by day, one row per customer; at most one entry per day asked for.
+
+    A customer has one snapshot per day; a second one fails the job instead of doubling its sends.
+    """
+    known = states.where(F.col("tipo_canjeador").isNotNull())
+    entries = F.collect_list(F.struct("partition_date", "tipo_canjeador"))
+    return known.groupBy("cust_id").agg(F.map_from_entries(entries).alias("states"))
+
+
+def state_at(sends: DataFrame, states: DataFrame, lookups: dict[str, str], customer: str = "rut") -> DataFrame:
+    """Add the state on each date column of ``lookups`` (date column to output name), null where unknown.
+
+    All lookups share one join by customer.
+    """
+    by_customer = customer_states(states).withColumnRenamed("cust_id", customer)
+    found = {out: F.try_element_at("states", F.col(on_date)) for on_date, out in lookups.items()}
+    return sends.join(by_customer, customer, "left").withColumns(found).drop("states")
 
 
 def needed_states(states: DataFrame, sends: DataFrame, on_date: str, customer: str = "rut") -> DataFrame:

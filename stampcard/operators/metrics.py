@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stampcard.operators.features import not_returned
 from stampcard.operators.identity import identity_rows, measurement_identity
-from stampcard.operators.lifecycle import funnel_group, states_on
+from stampcard.operators.lifecycle import funnel_group, state_at, states_on
 
 # Labels of the cube.
 NO_CHANNEL_LABEL = "NO CANJE"
@@ -40,13 +40,6 @@ def customer_redemptions(rdm: DataFrame, start: dt.date, end: dt.date) -> DataFr
     )
 
 
-def customer_states(states: DataFrame) -> DataFrame:
-    """Known states by day, one row per customer; at most one entry per day asked for."""
-    known = states.where(F.col("tipo_canjeador").isNotNull())
-    entries = F.collect_list(F.struct("partition_date", "tipo_canjeador"))
-    return known.groupBy("cust_id").agg(F.map_from_entries(entries).alias("states"))
-
-
 def send_days(sends: DataFrame) -> DataFrame:
     """Distinct window start and end days; calendar-sized."""
     days = F.explode(F.array("inicio_vigencia", "fin_vigencia")).alias("partition_date")
@@ -65,15 +58,14 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
     identify = measurement_identity if dedupe else identity_rows
     rows = identify(ranged, mail, jobs, start, end, *([True] if dedupe else []))
     redeemed = customer_redemptions(rdm, start, end).withColumnRenamed("cust_id", "rut_medicion")
-    states = customer_states(states_on(snapshots, send_days(ranged), start)).withColumnRenamed("cust_id", "rut_medicion")
+    states = states_on(snapshots, send_days(ranged), start)
 
-    joined = rows.join(redeemed, "rut_medicion", "left").join(states, "rut_medicion", "left")
+    looked_up = {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"}
+    joined = state_at(rows.join(redeemed, "rut_medicion", "left"), states, looked_up, "rut_medicion")
     in_window = F.filter("entries", lambda e: e["redemption_date"].between(F.col("inicio_vigencia"), F.col("fin_vigencia")))
     rows = joined.select(
-        "fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "rut_medicion", "weight", "primer_canje",
-        F.try_element_at("states", F.col("inicio_vigencia")).alias("state_pre"),
-        F.try_element_at("states", F.col("fin_vigencia")).alias("state_post"),
-        F.explode_outer(in_window).alias("hit"),
+        "fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "rut_medicion", "weight", "primer_canje", "state_pre",
+        "state_post", F.explode_outer(in_window).alias("hit"),
     )
     keyed = rows.select(
         F.col("fecha_envio").alias("FECHA_ENVIO"),

@@ -16,14 +16,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Position = namedtuple("Position", "position value tie")
-_MIN_BUCKETS, _MAX_BUCKETS, _PIECES = 200, 1000, 16
+_MIN_BUCKETS, _MAX_BUCKETS, _PIECES = 32, 1000, 16
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
     if buckets:
         return max(2, buckets)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(partitions, _MIN_BUCKETS), _MAX_BUCKETS)
+    return min(max(4 * partitions, _MIN_BUCKETS), _MAX_BUCKETS)
 
 
 class _Cuts:
@@ -51,7 +51,8 @@ class _Cuts:
             df = _bucketize(df, tie, self.tie_edges, tie_bucket)
             for step, values in self.heavy.items():
                 piece = F.floor(F.col(tie_bucket) / step)
-                sub = F.when(F.col(value).cast("double").isin(values), piece).otherwise(sub)
+                listed = ", ".join(f"{v!r}D" for v in values)
+                sub = F.when(F.expr(f"CAST(`{value}` AS DOUBLE) IN ({listed})"), piece).otherwise(sub)
         df = df.withColumn(out, (F.col(value_bucket) * self.width + sub).cast("bigint"))
         return df.drop(value_bucket, tie_bucket)
 
@@ -67,8 +68,8 @@ def _bucketize(df: DataFrame, column: str, edges: list[float], out: str) -> Data
 
 
 def _percentiles(column: str, buckets: int) -> Column:
-    shares = [k / buckets for k in range(1, buckets)]
-    return F.percentile_approx(F.col(column).cast("double"), shares, max(10_000, 20 * buckets))
+    shares = ", ".join(f"{k / buckets!r}D" for k in range(1, buckets))
+    return F.expr(f"percentile_approx(CAST(`{column}` AS DOUBLE), array({shares}), {max(10_000, 20 * buckets)})")
 
 
 def _plan_cuts(df: DataFrame, values: list[str], tie: str | None, buckets: int | None) -> tuple[int, list[_Cuts]]:

@@ -146,11 +146,10 @@ def summary_kpis(summary: DataFrame) -> DataFrame:
 
 
 def summary_bands(summary: DataFrame) -> DataFrame:
-    """Traffic lights against the column means, each a scalar subquery."""
-    bands = {
-        f"{c}_band": ratios.band_mean(F.col(c), summary.agg(F.avg(c)).scalar())
-        for c in ("pct_gm", "conv_pct", "top_segment_pct")
-    }
+    """Traffic lights against the column means, which come from one scalar subquery."""
+    judged = ["pct_gm", "conv_pct", "top_segment_pct"]
+    means = summary.agg(F.struct(*[F.avg(c).alias(c) for c in judged])).scalar()
+    bands = {f"{c}_band": ratios.band_mean(F.col(c), means[c]) for c in judged}
     bands["lift_band"] = ratios.band_lift(F.col("lift_pp"))
     return summary.select("campaign", *[band.alias(name) for name, band in bands.items()])
 

@@ -263,8 +263,7 @@ def _(m):
 def _(m):
     windows = m.sends().select("nombre_campanha", "rut", "inicio_vigencia", "fin_vigencia")
     states = lifecycle.states_on(m.snapshots(), metrics.send_days(windows), START)
-    before = lifecycle.state_at(windows, states, "inicio_vigencia", "state_pre")
-    return lifecycle.state_at(before, states, "fin_vigencia", "state_post")
+    return lifecycle.state_at(windows, states, {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"})
 
 
 @query("c8_needed_states", "C8")
@@ -417,10 +416,10 @@ def _(m):
 
 @query("g11_name_functions", "G11 G12 G13")
 def _(m):
-    name = F.col("campaign_name")
-    return m.email().select(
-        name, text.squash(name).alias("squashed"), text.norm_campaign(name).alias("camp_key"),
-        text.base_key(text.norm_campaign(name)).alias("base_key"), F.lower(name).alias("lowered"),
+    name = F.concat(F.lit(" "), F.lower("nombre_campanha"))
+    return m.sends().select(
+        "rut", "fin_vigencia", text.squash(name).alias("squashed"), text.norm_campaign(name).alias("camp_key"),
+        text.base_key(text.norm_campaign(name)).alias("base_key"), F.upper("email_corporativo").alias("upper_email"),
     )
 
 
