@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -175,12 +177,16 @@ def importance(model: PipelineModel, spark: SparkSession, spend_columns: list[st
     return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy(F.col("importance").desc()).limit(top)
 
 
+def predict_audience(model: PipelineModel, audience: DataFrame, send_date: dt.date, spend_columns: list[str], ratio: float) -> DataFrame:
+    """Probability of each customer of a future send, all treated, corrected by the prior as nothing is observed yet."""
+    planned = audience.withColumns({"fecha_envio": F.lit(send_date), "gmgc": F.lit("GM"), "_segment": F.col("rfm_segment")})
+    scored = score(model, prepare(planned, spend_columns)).drop("rfm_segment").withColumnRenamed("_segment", "rfm_segment")
+    return scored.withColumn("p_5dias", prior_correct(F.col("p"), F.lit(ratio)))
+
+
 def predict_campaigns(model: PipelineModel, audience: DataFrame, features: DataFrame, spend_columns: list[str],
                       ratio: float, outcome: str = "canjeo") -> DataFrame:
-    """Calibrated probability of each customer send, rescaled per campaign to its observed rate.
-
-    A future audience has no outcome (``canjeo`` false everywhere), so its scores are corrected by the prior.
-    """
+    """Calibrated probability of each customer send, rescaled per campaign to its observed rate."""
     rows = audience.join(features, "cust_id", "left").withColumn("_segment", F.col("rfm_segment"))
     scored = score(model, prepare(rows, spend_columns)).drop("rfm_segment").withColumnRenamed("_segment", "rfm_segment")
     return rescale_to_rate(scored, "p", outcome, ratio, ["nombre_campanha"])

@@ -46,7 +46,10 @@ def segment_profile(rfm: DataFrame) -> DataFrame:
 
 
 def calibration_by_segment(rfm: DataFrame, rfm_cube: DataFrame) -> DataFrame:
-    """Mean predicted propensity against observed rates per segment, with the gap and its band."""
+    """Mean predicted propensity against observed rates per segment, with the gap and its band.
+
+    Segments without treated customers have nothing to compare with and are left out.
+    """
     predicted = rfm.dropna(subset=["propensity_score"]).groupBy("rfm_segment").agg(
         F.round(F.avg("propensity_score") * 100, 2).alias("predicted_pct")
     )
@@ -58,11 +61,12 @@ def calibration_by_segment(rfm: DataFrame, rfm_cube: DataFrame) -> DataFrame:
         clients_where(control).alias("total_gc"),
         clients_where(control & redeemed).alias("redeemers_gc"),
     )
-    joined = predicted.where(F.col("rfm_segment").isin(RFM_ORDER)).join(observed, "rfm_segment", "left")
-    real_gm = F.when(F.col("total_gm") > 0, spct(F.col("redeemers_gm"), F.col("total_gm")))
+    known = observed.where(F.col("total_gm") > 0)
+    joined = predicted.where(F.col("rfm_segment").isin(RFM_ORDER)).join(known, "rfm_segment")
+    real_gm = spct(F.col("redeemers_gm"), F.col("total_gm"))
     real_gc = F.when(F.col("total_gc") > 0, spct(F.col("redeemers_gc"), F.col("total_gc")))
     rows = joined.select(
-        "rfm_segment", F.coalesce("total_gm", F.lit(0)).alias("total_gm"), "predicted_pct",
+        "rfm_segment", "total_gm", "predicted_pct",
         real_gm.alias("real_gm_pct"), real_gc.alias("real_gc_pct"),
         F.round(F.col("predicted_pct") - real_gm, 1).alias("gap_pp"),
     )
@@ -70,8 +74,8 @@ def calibration_by_segment(rfm: DataFrame, rfm_cube: DataFrame) -> DataFrame:
 
 
 def calibration_kpis(calibration: DataFrame) -> DataFrame:
-    """Mean absolute gap and bias over the segments with treated customers."""
-    return calibration.where(F.col("real_gm_pct").isNotNull()).agg(
+    """Mean absolute gap and bias over the segments."""
+    return calibration.agg(
         F.count(F.lit(1)).alias("segments"),
         F.round(F.avg(F.abs("gap_pp")), 1).alias("mae_pp"),
         F.round(F.avg("gap_pp"), 1).alias("bias_pp"),

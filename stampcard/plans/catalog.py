@@ -844,6 +844,13 @@ def _(m):
     return scored.groupBy("rfm_segment").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
 
 
+@query("i18_audience_plan", "I18 H47")
+def _(m):
+    chosen = planning.audience(m.rfm(), _AUDIENCE)
+    predicted = model.predict_audience(_trained(m)[0], chosen, dt.date(2001, 1, 15), SPEND, PRIOR_RATIO)
+    return planning.audience_plan(predicted, VALUE_PER_POINT, planning.average_points(m.rfm(), ["avg_redeem_points"]))
+
+
 @query("i18_campaign_predictions", "I18 I11")
 def _(m):
     sends = m.attributed().select(

@@ -90,6 +90,10 @@ def train_campaign_model(sends: DataFrame, redemptions: DataFrame, rfm: DataFram
             "base_rate_real": F.lit(real_rate),
             "n_train": train.agg(F.count(F.lit(1))).scalar(),
             "n_test": test.agg(F.count(F.lit(1))).scalar(),
+            "n_campaigns": outcomes.agg(F.countDistinct("nombre_campanha")).scalar(),
+            "n_features": F.lit(len(model.feature_names(spend_columns))),
+            "start_date": F.lit(start),
+            "end_date": F.lit(end),
             "cutoff_date": model.temporal_cutoff(rows, "fecha_envio", "nombre_campanha").scalar(),
         }
     ).withColumn("overfit_gap", F.col("auc_train") - F.col("auc"))

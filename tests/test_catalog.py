@@ -12,7 +12,8 @@ from stampcard.plans.marts import Marts
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, connect
 
-TRAINED = {"i7_train_model", "i8_propensity_scores", "i9_isotonic", "i16_importance", "i17_saved_model", "i18_campaign_predictions"}
+TRAINED = {"i7_train_model", "i8_propensity_scores", "i9_isotonic", "i16_importance", "i17_saved_model", "i18_campaign_predictions",
+           "i18_audience_plan"}
 
 
 @pytest.fixture(scope="module")
