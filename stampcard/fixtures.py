@@ -60,8 +60,13 @@ SELECT k, make_date(2000, k, 5) AS fecha_envio,
 FROM (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12)) AS t(k)
 """
 
-# Both joins are equi-joins of the customers with a handful of literal rows: campaign k reaches the
-# customers with (c_custkey + k) divisible by 3, one in ten customers has a second window.
+# Campaign k reaches the customers of two market segments.
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_AUDIENCE = "SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, '{_SEGMENTS[(k + step) % 5]}')" for k in range(1, 13) for step in (0, 2)
+) + ") AS t(camp, segment)"
+
+# All joins are equi-joins of the customers with a few literal rows; some customers have a second window.
 _SENDS = """
 SELECT fecha_envio, nombre_campanha, c_custkey AS rut,
   CASE WHEN c_custkey % 5 = 0 THEN 'GC' ELSE 'GM' END AS gmgc,
@@ -72,7 +77,8 @@ SELECT fecha_envio, nombre_campanha, c_custkey AS rut,
   fecha_envio AS inicio_vigencia,
   fecha_envio + CAST(20 + w AS INT) AS fin_vigencia
 FROM {customer}
-JOIN {campaigns} ON (12 - k) % 3 = c_custkey % 3
+JOIN {audience} ON c_mktsegment = segment
+JOIN {campaigns} ON k = camp
 JOIN (VALUES (0, 0), (1, 0), (1, 5)) AS v(second, w) ON second = CASE WHEN c_custkey % 10 = 1 THEN 1 ELSE 0 END
 """
 
@@ -85,7 +91,7 @@ _MAIL_SENT = """
 SELECT k AS id_jobenvio, s.fecha_envio AS fecha_sent, s.fecha_envio AS fecha_real, email_corporativo AS email_cliente
 FROM {sends} s JOIN {campaigns} c ON s.nombre_campanha = c.nombre_campanha
 JOIN (VALUES (0, 0), (1, 0), (1, 1)) AS d(twice, dup) ON twice = CASE WHEN rut % 23 = 0 THEN 1 ELSE 0 END
-WHERE gmgc = 'GM' AND rut % 7 <> 0 AND s.fin_vigencia = s.fecha_envio + 20
+WHERE gmgc = 'GM' AND tipo_cliente IS NOT NULL AND s.fin_vigencia = s.fecha_envio + 20
 """
 
 # Feed rows count the sends of a campaign. Variant 1 is a second row of a campaign under another spelling or date.
@@ -134,7 +140,8 @@ class Fixtures:
         return self.spark.sql(_CAMPAIGNS)
 
     def sends(self) -> DataFrame:
-        return self.spark.sql(_SENDS, customer=self.table("customer"), campaigns=self.campaigns())
+        audience = self.spark.sql(_AUDIENCE)
+        return self.spark.sql(_SENDS, customer=self.table("customer"), audience=audience, campaigns=self.campaigns())
 
     def mail_job(self) -> DataFrame:
         return self.spark.sql(_MAIL_JOB, campaigns=self.campaigns())
