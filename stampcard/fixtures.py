@@ -137,10 +137,11 @@ class Fixtures:
         return self.spark.sql(_REDEMPTIONS, orders=self.table("orders"), lineitem=self.table("lineitem"))
 
     def campaigns(self) -> DataFrame:
-        return self.spark.sql(_CAMPAIGNS)
+        """Twelve literal rows, so always broadcast."""
+        return F.broadcast(self.spark.sql(_CAMPAIGNS))
 
     def sends(self) -> DataFrame:
-        audience = self.spark.sql(_AUDIENCE)
+        audience = F.broadcast(self.spark.sql(_AUDIENCE))
         return self.spark.sql(_SENDS, customer=self.table("customer"), audience=audience, campaigns=self.campaigns())
 
     def mail_job(self) -> DataFrame:

@@ -43,6 +43,19 @@ def month_end_asof(daily: DataFrame, snapshots: DataFrame) -> DataFrame:
     return daily.join(closes, same, "left").drop("_close_cust")
 
 
+def month_end_asof_few(daily: DataFrame, closes: DataFrame) -> DataFrame:
+    """As ``month_end_asof`` for a few month ends: they come as one map per customer.
+
+    The join is by customer alone, so rows already partitioned by customer stay where they are.
+    """
+    values = F.struct(*[F.col(name).alias(f"{name}_cierre") for name in _CLOSE_COLUMNS])
+    entries = F.collect_list(F.struct(F.col("partition_date").alias("day"), values.alias("state")))
+    by_customer = closes.groupBy("cust_id").agg(F.map_from_entries(entries).alias("_closes"))
+    day = prev_month_end(F.col("partition_date"))
+    joined = daily.join(by_customer, "cust_id", "left").withColumn("_close", F.try_element_at("_closes", day))
+    return joined.select(*daily.columns, F.when(F.col("_close").isNotNull(), day).alias("partition_cierre"), "_close.*")
+
+
 def snapshots_from(snapshots: DataFrame, start) -> tuple[DataFrame, DataFrame]:
     """Daily rows from ``start`` on, and rows from the month end before it on (for the closes)."""
     day = F.col("partition_date")
@@ -177,17 +190,21 @@ def funnel_group(state: Column) -> Column:
     return first_match([(g, state.isin(states)) for g, states in FUNNEL_GROUPS.items()], F.lit(UNKNOWN_STATE))
 
 
-def states_on(snapshots: DataFrame, days: DataFrame, start) -> DataFrame:
-    """Redemption state of every customer on the given days only.
+def states_on(snapshots: DataFrame, days: DataFrame, start, customers: DataFrame | None = None) -> DataFrame:
+    """Redemption state on the given days only, of all or of the given customers.
 
     ``days`` has one ``partition_date`` per calendar day asked for, so it is at most a few thousand rows and
-    prunes the snapshot partitions.
+    prunes the snapshot partitions. ``customers`` (distinct ``cust_id``) leaves other customers out before anything
+    else, and the partitioning by customer that this takes serves the month-end join and later groupings too.
     """
     daily, closes = snapshots_from(snapshots, start)
     wanted = daily.join(F.broadcast(days), "partition_date", "left_semi")
     close_days = days.select(prev_month_end(F.col("partition_date")).alias("partition_date")).distinct()
     closes = closes.join(F.broadcast(close_days), "partition_date", "left_semi")
-    return canjeador(month_end_asof(wanted, closes)).select("partition_date", "cust_id", "tipo_canjeador")
+    if customers is not None:
+        wanted = wanted.join(customers, "cust_id", "left_semi")
+        closes = closes.join(customers, "cust_id", "left_semi")
+    return canjeador(month_end_asof_few(wanted, closes)).select("partition_date", "cust_id", "tipo_canjeador")
 
 
 def customer_states(states: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
     identify = measurement_identity if dedupe else identity_rows
     rows = identify(ranged, mail, jobs, start, end, *([True] if dedupe else []))
     redeemed = customer_redemptions(rdm, start, end).withColumnRenamed("cust_id", "rut_medicion")
-    states = states_on(snapshots, send_days(ranged), start)
+    states = states_on(snapshots, send_days(ranged), start, ranged.select(F.col("rut").alias("cust_id")).distinct())
 
     looked_up = {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"}
     joined = state_at(rows.join(redeemed, "rut_medicion", "left"), states, looked_up, "rut_medicion")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter, namedtuple
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.ml.feature import Bucketizer
@@ -104,7 +105,7 @@ def order_statistics_many(df: DataFrame, values: list[str], tie: str, positions_
     pairs = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(f"_b{i}").alias("bucket")) for i in range(len(values))])
     sizes = marked.select(F.inline(pairs)).groupBy("dim", "bucket").count().collect()
 
-    found = []
+    wanted_of, reads = [], []
     for i, name in enumerate(values):
         ordered = sorted((row.bucket, row["count"]) for row in sizes if row.dim == i)
         ends = list(accumulate(count for _, count in ordered))
@@ -113,18 +114,19 @@ def order_statistics_many(df: DataFrame, values: list[str], tie: str, positions_
             at = bisect_left(ends, position)
             wanted[(ordered[at][0], position - (ends[at - 1] if at else 0))] = position
         inside = Window.partitionBy(f"_b{i}").orderBy(name, tie)
-        hit = F.struct(F.col(f"_b{i}"), F.col("_rn"))
-        targets = [F.struct(F.lit(b).cast("bigint").alias(f"_b{i}"), F.lit(r).alias("_rn")) for b, r in wanted]
-        rows = (
-            marked.where(F.col(f"_b{i}").isin([b for b, _ in wanted]))
+        targets = ", ".join(f"({bucket}L, {rank})" for bucket, rank in wanted)
+        wanted_of.append(wanted)
+        reads.append(
+            marked.where(F.col(f"_b{i}").isin([bucket for bucket, _ in wanted]))
             .withColumn("_rn", F.row_number().over(inside))
-            .where(hit.isin(targets))
-            .select(F.col(f"_b{i}").alias("bucket"), F.col("_rn").alias("rn"), F.col(name).alias("v"), F.col(tie).alias("t"))
-            .collect()
+            .where(F.expr(f"(`_b{i}`, _rn) IN ({targets})"))
+            .select(F.lit(i).alias("dim"), F.col(f"_b{i}").alias("bucket"), F.col("_rn").alias("rn"),
+                    F.col(name).alias(f"v{i}"), F.col(tie).alias("t"))
         )
-        at_position = {wanted[(row.bucket, row.rn)]: row for row in rows}
-        found.append([Position(p, at_position[p].v, at_position[p].t) for p in positions])
-    return n, found
+    hits: list[dict] = [{} for _ in values]
+    for row in reduce(lambda one, more: one.unionByName(more, allowMissingColumns=True), reads).collect():
+        hits[row.dim][wanted_of[row.dim][(row.bucket, row.rn)]] = Position(None, row[f"v{row.dim}"], row.t)
+    return n, [[hits[i][p]._replace(position=p) for p in positions] for i in range(len(values))]
 
 
 def order_statistics(df: DataFrame, value: str, tie: str, positions: list[int], buckets: int | None = None):
