@@ -45,20 +45,14 @@ def campaign_mail_match(sends: DataFrame, mail: DataFrame, jobs: DataFrame, star
 def deliveries_per_address(mail: DataFrame, jobs: DataFrame, start: dt.date) -> DataFrame:
     """Number of deliveries per squashed name, address and day.
 
-    Deliveries are counted per job and address before the join, so a job that holds a large share of the mails
-    does not meet the job table row by row.
+    Jobs are few and normally broadcast by their size. Where they are not, a job with a large share of the
+    mails is a skewed join key, which adaptive execution splits, as the grouping after it shuffles anyway.
     """
-    sent = mail.where((F.col("fecha_real") >= F.lit(start)) & F.col("email_cliente").isNotNull())
-    counted = sent.groupBy("id_jobenvio", "fecha_real", "fecha_sent", "email_cliente").agg(F.count(F.lit(1)).alias("n"))
-    named = jobs.where(F.col("fecha_real") >= F.lit(start)).groupBy("id_jobenvio", "fecha_real", "desc_emailname").agg(
-        F.count(F.lit(1)).alias("n_jobs")
-    )
-    joined = counted.join(named, ["id_jobenvio", "fecha_real"])
-    return joined.groupBy(
+    return mail_campaigns(mail.where(F.col("email_cliente").isNotNull()), jobs, start).groupBy(
         squash(F.col("desc_emailname")).alias("name_key"),
         F.col("email_cliente").alias("email"),
         F.col("fecha_sent").alias("fecha_envio"),
-    ).agg(F.sum(F.col("n") * F.col("n_jobs")).alias("deliveries"))
+    ).agg(F.count(F.lit(1)).alias("deliveries"))
 
 
 def _keyed(sends: DataFrame) -> DataFrame:
