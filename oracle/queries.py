@@ -335,8 +335,8 @@ CROSS JOIN (SELECT median(avg_redeem_points) AS pts FROM rfm)""",
     "h49_monthly_trend": """
 SELECT strftime(send_date, '%Y-%m') AS month, count(campaign) AS campaigns, round(avg(pct_gm), 6) AS mean_pct_gm FROM history GROUP BY 1""",
     "i1_downsample_counts": """
-SELECT canjeo_5d, CAST(CASE WHEN canjeo_5d THEN n ELSE least(n, 5 * pos) END AS BIGINT) AS n, campaigns FROM (
-  SELECT canjeo_5d, count(*) AS n, count(DISTINCT nombre_campanha) AS campaigns FROM outcome GROUP BY 1)
+SELECT canjeo_5d, CAST(CASE WHEN canjeo_5d THEN n ELSE least(n, 5 * pos) END AS BIGINT) AS n FROM (
+  SELECT canjeo_5d, count(*) AS n FROM outcome GROUP BY 1)
 CROSS JOIN (SELECT count(*) FILTER (canjeo_5d) AS pos FROM outcome)""",
     "i2_campaign_context": """
 SELECT nombre_campanha, cust_id, CAST(month(fecha_envio) AS INT) AS mes_envio, CAST(isodow(fecha_envio) - 1 AS INT) AS dia_semana_envio,

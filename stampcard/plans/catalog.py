@@ -20,7 +20,7 @@ from stampcard.operators import (
 from stampcard.plans import jobs
 from stampcard.plans.marts import Marts
 from stampcard.schemas import schema
-from stampcard.session import materialize, scratch_path
+from stampcard.session import scratch_path
 from stampcard.sources import filters, scans, sinks
 
 QUERIES: dict[str, Callable[[Marts], DataFrame]] = {}
@@ -723,7 +723,7 @@ _SEND_KEYS = ["fecha_envio", "nombre_campanha", "gmgc", "cust_id"]
 @query("i1_downsample_counts", "I1 E10")
 def _(m):
     kept = model.downsample(m.outcomes(), "canjeo_5d", _SEND_KEYS)
-    return kept.groupBy("canjeo_5d").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("nombre_campanha").alias("campaigns"))
+    return kept.groupBy("canjeo_5d").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("i2_campaign_context", "I2 G9 G10")

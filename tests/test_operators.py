@@ -3,7 +3,6 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,9 +18,6 @@ def rows(df, *columns):
     return sorted((tuple(row[c] for c in columns) for row in df.collect()), key=repr)
 
 
-def frame(spark, pdf, entity):
-    return spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], schema(entity))
-
 
 # --- functions ---------------------------------------------------------------------------------
 
