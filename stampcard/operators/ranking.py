@@ -12,6 +12,7 @@ from bisect import bisect_left
 from collections import Counter, namedtuple
 from functools import reduce
 from itertools import accumulate
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,8 +32,8 @@ class _Cuts:
     """Literal cut points of one value column and its tie-break column."""
 
     def __init__(self, value_points: list[float], tie_points: list[float]):
-        self.value_edges = sorted(set(value_points))
-        self.tie_edges = sorted(set(tie_points))
+        self.value_edges = _edges(value_points)
+        self.tie_edges = _edges(tie_points)
         self.width = len(self.tie_edges) + 2
         # A percentile that repeats ``times`` marks a value holding about that many buckets' share of the rows. It is
         # cut by the tie-break into some 16 pieces per share, which keeps the number of buckets in the order of the
@@ -58,6 +59,11 @@ class _Cuts:
         return df.drop(value_bucket, tie_bucket)
 
 
+def _edges(points: list[float]) -> list[float]:
+    """Distinct finite cut points; at least one, as a bucket needs two sides."""
+    return sorted({point for point in points if isfinite(point)}) or [0.0]
+
+
 def _bucketize(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:
     """Binary search of ``column`` in ``edges``; the bucket starts at its edge."""
     splits = [float("-inf"), *edges, float("inf")]

@@ -98,3 +98,10 @@ def test_no_single_partition_in_rank_and_scores(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SinglePartition" not in plan
     assert "Exchange" not in plan
+
+
+def test_infinite_values_rank_at_the_ends(spark):
+    df = spark.createDataFrame([(i, float("inf") if i % 2 else float(i)) for i in range(40)], "k BIGINT, v DOUBLE")
+    got = ranking.distributed_rank(df, "v", "k").orderBy("rn").toPandas()
+    assert got["rn"].tolist() == list(range(1, 41))
+    assert got["k"].tolist() == [*range(0, 40, 2), *range(1, 40, 2)]
