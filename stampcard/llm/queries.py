@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, quality, simhash
+from stampcard.llm import bpe, chat, licences, lines, quality, records, secrets, simhash, urls
 from stampcard.llm.common import table
+from stampcard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +49,97 @@ def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.verdict("base", 1)).alias("base_failed"),
         quality.verdict().alias("kept"), "fail_bits",
     )
+
+
+@query("op9_token_records")
+def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "records")
+    index = records.write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return records.checksums(records.read_records(index, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_licence_scan")
+def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", "|").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+#: The rules of the contract: host, path, verdict (fixed values).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+_URL_SQL = """
+WITH rules(h, p, v) AS (VALUES {rules}),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+known AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+)
+SELECT page_id, host, path,
+       (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+       coalesce((SELECT max_by(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)), 'allow') AS verdict
+FROM known
+""".format(rules=", ".join(str(r) for r in URL_RULES))
+
+
+@query("op2_url_rules", _URL_SQL)
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A conversation added to the table: control strings as content.
+EXTRA_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+_CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+marked AS (
+  SELECT *, length(body) + length(regexp_replace(body, '[^\]', '', 'g'))
+         + len(regexp_extract_all(body, '<\||</?s>|\[/?INST\]|<</?SYS>>')) AS written FROM turns
+),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || body || chr(10), '' ORDER BY turn, role, body) AS everything,
+         string_agg(CASE WHEN role = 'assistant' THEN body ELSE '' END, '' ORDER BY turn, role, body) AS learned,
+         sum(written + length(role) + length('<|turn|><|body|><|end|>')) AS formatted_chars
+  FROM marked GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(everything) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+
+@query("op10_chat_format", _CHAT_SQL)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    formatted = chat.format_chats(rows)
+    read = formatted.select("conv_id", "formatted", chat.parse_chat(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines_ = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines_, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op3_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(secrets.labelled_samples(docs)))
+    names = F.array(*[F.lit(name) for name, *_ in secrets.KINDS], F.lit("markov"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"),
+    )
