@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, chat, licences, lines, quality, records, secrets, simhash, urls
+from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, urls
 from stampcard.llm.common import table
 from stampcard.session import scratch_path
 
@@ -143,3 +143,9 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"),
     )
+
+
+@query("op1_template_decontamination")
+def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
