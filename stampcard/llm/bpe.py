@@ -155,7 +155,6 @@ class Encoder:
         ranks = read_ranks(path)
         self.merges = Merges(ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
         self.cache = ChunkCache(self.encode_chunks)
         order = sorted(ranks.items(), key=lambda x: x[1])
         self.table = np.full(self.merges.size + 1, 0, np.int64)
@@ -186,11 +185,8 @@ class Encoder:
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         cut = [self.pattern.findall(c) for c in chunks]
-        if len(self.known) > 400_000:
-            self.known = {}
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        self.known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
-        known = self.known
+        new = list({p for pieces in cut for p in pieces})
+        known = dict(zip(new, self.encode_pieces([p.encode() for p in new])))
         return [known[p[0]] if len(p) == 1 else [i for x in p for i in known[x]] for p in cut]
 
     def decode(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -207,13 +203,19 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return worker_state(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of the text (array of int) by the rank file at ``path``, which every executor must reach."""
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str | None = None) -> DataFrame:
+    """``df`` with the ids of the text (array of int) by the rank file at ``path``, which every executor must reach.
+
+    With ``bytes_col`` the ids are also decoded in the same pass, for a check of the round trip."""
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))]
+    fields += [T.StructField(bytes_col, T.BinaryType())] if bytes_col else []
 
     def make(texts: list[str]) -> list[pa.Array]:
-        return [list_array(*_encoder(path, pattern).cache.ids(texts), pa.int32())]
+        flat, counts = _encoder(path, pattern).cache.ids(texts)
+        ids = list_array(flat, counts, pa.int32())
+        return [ids, _encoder(path, pattern).decode(flat, counts)] if bytes_col else [ids]
 
-    return add_columns(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))], make)
+    return add_columns(df, text_col, fields, make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:

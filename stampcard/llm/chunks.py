@@ -6,73 +6,95 @@ may be cut there, each chunk may be encoded alone, and the ids joined again. Wor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 
+_SPACES = re.compile(r" (?=\s|\Z)")
 
-def split_chunks(text: str) -> list[str]:
-    """Cut before every space that a non-space character follows; the chunks joined give the text back."""
-    if not text:
-        return []
-    first, *rest = text.split(" ")
-    if not rest:
-        return [first]
-    out = [first] if first else []
-    for word in rest:
+
+def split_words(text: str) -> list[str]:
+    """Cut at every space that a non-space character follows; the words joined by a space give the text back."""
+    words = text.split(" ")
+    if not _SPACES.search(text):
+        return words
+    out = words[:1]
+    for word in words[1:]:
         if word and not word[0].isspace():
-            out.append(" " + word)
-        elif out:
-            out[-1] += " " + word
+            out.append(word)
         else:
-            out.append(" " + word)
+            out[-1] += " " + word
     return out
 
 
+class _Places(dict):
+    """Place of each chunk; one not yet known gets the next place and waits in ``new``. Tuples are chunks that begin a text."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        place = self[key] = len(self)
+        return place
+
+
 class ChunkCache:
-    """Ids of chunks in one flat array. ``encode`` gives the id lists of many chunks; at ``most`` entries it starts anew."""
+    """Ids of chunks in one flat array. ``encode`` gives the id lists of many chunks.
+
+    Beyond ``most`` chunks new ones are kept for one call only, so the frequent ones, which come early, stay. If they stop being
+    frequent, so that half of the words of a call are new, the cache starts anew.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 250_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.places = _Places()
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def add(self, chunks: list[str]) -> None:
-        lists = self.encode(chunks)
+    def _add(self, first: int) -> None:
+        """Encode what waits; its places begin at ``first``."""
+        lists = self.encode([k[0] if isinstance(k, tuple) else " " + k for k in self.places.new])
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        before, total = len(self.place), int(counts.sum())
-        for chunk in chunks:
-            self.place[chunk] = len(self.place)
-        while len(self.starts) < len(self.place):
+        last, total = first + len(lists), int(counts.sum())
+        while len(self.starts) < last:
             self.starts, self.counts = np.concatenate([self.starts, self.starts]), np.concatenate([self.counts, self.counts])
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, self.flat])
-        self.counts[before : len(self.place)] = counts
-        self.starts[before : len(self.place)] = self.used + np.cumsum(counts) - counts
+        self.counts[first:last] = counts
+        self.starts[first:last] = self.used + np.cumsum(counts) - counts
         self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.int32, total)
         self.used += total
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
-        cut = [split_chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.place))
-        if len(self.place) + len(new) > self.most:
-            self.clear()
-            new = list(dict.fromkeys(c for chunks in cut for c in chunks))
-        if new:
-            self.add(new)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        find = self.place.__getitem__
-        at = np.fromiter((i for chunks in cut for i in map(find, chunks)), np.int64, int(sizes.sum()))
+        keys, sizes = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = split_words(text)
+            words[0] = (words[0],)
+            sizes[k] = len(words)
+            keys += words
+        first, used = len(self.places), self.used
+        at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        if self.places.new:
+            self._add(first)
         counts = self.counts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        if first >= self.most:
+            if 2 * len(self.places.new) > len(keys):
+                self.clear()
+            else:
+                for key in self.places.new:
+                    del self.places[key]
+                self.used = used
+        self.places.new = []
         return flat, np.diff(bounds)

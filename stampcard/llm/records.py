@@ -125,9 +125,11 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Index rows with their ``ids``, read from the shard files and checked. Any subset or order of the index will do."""
-    schema = T.StructType([*[f for f in index.schema.fields if f.name.lower() != "ids"], T.StructField("ids", T.ArrayType(T.LongType(), False))])
+def read_records(index: DataFrame, folder: str, packed: bool = False) -> DataFrame:
+    """Index rows with their ``ids``, read from the shard files and checked. Any subset or order of the index will do.
+    ``packed``: the ids as little-endian unsigned 32-bit numbers in one binary value, instead of an array of longs."""
+    kind = T.BinaryType() if packed else T.ArrayType(T.LongType(), False)
+    schema = T.StructType([*[f for f in index.schema.fields if f.name.lower() != "ids"], T.StructField("ids", kind)])
     kept = index.select(*[f"`{f.name}`" for f in schema.fields[:-1]])
 
     def read(batches):
@@ -137,23 +139,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 for a in range(0, run.num_rows, 256):
                     part = run.slice(a, 256).combine_chunks()
                     ids = [np.frombuffer(read_frame(file, o), f"<u{w}") for o, w in zip(part["offset"].to_pylist(), part["width"].to_pylist())]
-                    flat = np.concatenate(ids).astype(np.int64) if ids else np.zeros(0, np.int64)
-                    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                    lists = list_array(flat, counts, pa.int64())
+                    if packed:
+                        lists = pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())
+                    else:
+                        lists = list_array(np.concatenate(ids).astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)), pa.int64())
                     yield pa.RecordBatch.from_arrays([*[c.chunk(0) for c in part.columns], lists], names=schema.names)
 
     return kept.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(read, schema)
-
-
-def checksums(records: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """Records with the CRC-32 of their ids as little-endian unsigned 32-bit numbers, in place of the ids."""
-    schema = T.StructType([*[f for f in records.schema.fields if f.name not in (ids_col, "ids_crc32")], T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(ids_col)
-            flat, ends = np.asarray(ids.flatten()).astype("<u4"), np.cumsum(np.asarray(ids.value_lengths())).tolist()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip([0, *ends], ends)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema.fields[:-1]], pa.array(sums, pa.int64())], names=schema.names)
-
-    return records.mapInArrow(run, schema)

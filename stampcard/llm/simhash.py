@@ -19,11 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stampcard.llm.common import add_columns, key_runs
+from stampcard.llm.common import add_columns, key_runs, row_key
 from stampcard.llm.components import components, forest
 from stampcard.session import materialize
 
@@ -211,3 +211,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", F.col("component_id").alias("named"))
     classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("named", "low").alias("component_id"))
     return printed.join(classes, "fp").select(id_col, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group, unchanged: the smallest id (a null id last), then the smallest row key; of repeated rows one."""
+    ordered = docs.select(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk")).alias("who"), F.col(text_col).alias("body"))
+    groups = near_duplicates(ordered, "who", "body", radius, shingle)
+    first = materialize(groups.where("who = component_id").select(F.col("who.rk").alias("__rk")).distinct(), "first-of-group")
+    keyed = docs.withColumn("__rk", row_key(id_col, text_col)).join(first, "__rk", "left_semi")
+    # the window asks for the partitioning and order that the join has where both sides are shuffled
+    return keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__rk").orderBy("__rk"))).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

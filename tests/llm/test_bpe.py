@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from stampcard.llm import bpe
-from stampcard.llm.chunks import split_chunks
+from stampcard.llm.chunks import split_words
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
@@ -24,7 +24,7 @@ def test_random_strings_as_the_library():
     for text, n in zip(texts, counts):
         assert flat[at : at + n].tolist() == LIBRARY.encode_ordinary(text)
         at += n
-        assert "".join(split_chunks(text)) == text
+        assert " ".join(split_words(text)) == text
 
 
 def test_both_trees_give_the_same_ids():
@@ -36,8 +36,8 @@ def test_both_trees_give_the_same_ids():
 def test_small_cache_is_refilled():
     encoder = bpe.Encoder(RANKS, P.PATTERN)
     encoder.cache.most = 10
-    for text in ("one two three four", "five six seven eight nine ten eleven", "one two twelve"):
-        assert encoder.cache.ids([text])[0].tolist() == LIBRARY.encode_ordinary(text)
+    for text in ("one two three four", "five six seven eight nine ten eleven", "one two twelve", "one two three four five a b", "one twelve two", "c d e f g", "one"):
+        assert encoder.cache.ids([text, ""])[0].tolist() == LIBRARY.encode_ordinary(text)
 
 
 def test_round_trip_of_odd_rows(docs, odd_rows):
@@ -45,6 +45,7 @@ def test_round_trip_of_odd_rows(docs, odd_rows):
     rows = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN).collect()
     assert len(rows) == len(odd_rows)
     for row in rows:
+        assert row.text is None or isinstance(row.text, str)
         assert row.ids == LIBRARY.encode_ordinary(row.text or "") and bytes(row.decoded) == (row.text or "").encode() and row.lang == "en"
 
 
