@@ -97,9 +97,9 @@ QUERIES: dict[str, str] = {
 SELECT id_jobenvio, campaign_name, casos, inicio_vigencia, fin_vigencia, flag_vigencia, desc_emailname, desc_asunto, total_mails,
   total_opens, total_clicks, total_bounces, total_unsubs, porc_envio
 FROM fx_email_metrics WHERE inicio_vigencia BETWEEN DATE '2000-02-05' AND DATE '2000-11-30'""",
-    "a3_capped_scan": """
+    "a3_projected_scan": """
 SELECT fecha_envio, nombre_campanha, tipo_cliente, canal, tipo_medicion, tipo_campanha, gmgc, inicio_vigencia, fin_vigencia
-FROM fx_sends WHERE fecha_envio BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' LIMIT 1000000""",
+FROM fx_sends WHERE fecha_envio BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'""",
     "a4_snapshot_scan": "SELECT * FROM fx_funnel WHERE partition_date = DATE '2000-07-31'",
     "a5_tolerant_read": "SELECT cust_id, tier, rfm_segment, propensity_score FROM rfm",
     "a6_campaign_read": """
@@ -137,10 +137,10 @@ SELECT * FROM metrics WHERE FECHA_ENVIO BETWEEN DATE '2000-02-01' AND DATE '2000
     "b13_campaign_search": "SELECT * FROM history WHERE regexp_matches(campaign, 'NRO 1.?_', 'i')",
     "b14_drop_null_keys": "SELECT tier, gender, count(*) AS n FROM rfm WHERE tier IS NOT NULL AND gender IS NOT NULL GROUP BY 1, 2",
     "b15_client_type": """
-SELECT cust_id, CASE WHEN cust_active_cmr_flg = 'Y' AND cust_active_deb_flg = 'N' THEN 'BANCO'
-  WHEN cust_active_cmr_flg = 'N' AND cust_active_deb_flg = 'Y' THEN 'BANCO'
-  WHEN cust_active_cmr_flg = 'Y' AND cust_active_deb_flg = 'Y' THEN 'BANCO'
-  WHEN cust_active_omp_flg = 'Y' THEN 'OMP' END AS tipo_cliente, cust_stock_point_amt FROM fx_clients""",
+SELECT cust_id, cust_stock_point_amt, coalesce(
+    (SELECT max('BANCO') FROM (VALUES ('YN'), ('NY'), ('YY')) AS v(flags) WHERE flags = cust_active_cmr_flg || cust_active_deb_flg),
+    if(cust_active_omp_flg = 'Y', 'OMP', NULL)) AS tipo_cliente
+FROM fx_clients""",
     "b16_send_dates": "SELECT DISTINCT FECHA_ENVIO FROM metrics",
     "b16_campaign_names": "SELECT DISTINCT NOMBRE_CAMPANHA FROM rfm_cube WHERE NOMBRE_CAMPANHA IS NOT NULL",
     "b17_campaign_slice": "SELECT * FROM metrics WHERE FECHA_ENVIO = DATE '2000-07-05' AND NOMBRE_CAMPANHA = 'Camp Nro 7_05072000'",
@@ -149,7 +149,7 @@ SELECT o.cust_id, fecha_envio, nombre_campanha, gmgc, canjeo_5d, tier, rfm_segme
     "c3_scores_to_sends": """
 SELECT nombre_campanha AS NOMBRE_CAMPANHA, gmgc AS GMGC, a.cust_id, flag_canje AS FLAG_CANJE,
   coalesce(rfm_segment, 'Sin score RFM') AS rfm_segment, r_score
-FROM attr a LEFT JOIN (SELECT * FROM rfm WHERE f_score >= 2) r ON r.cust_id = a.cust_id""",
+FROM attr a LEFT JOIN rfm r ON r.cust_id = a.cust_id""",
     "c4_interval_join": """
 SELECT nombre_campanha, s.cust_id, fin_vigencia, redemption_date, bu_channel_name, canjes, puntos_canjeados
 FROM (SELECT DISTINCT fecha_envio, nombre_campanha, gmgc, rut AS cust_id, inicio_vigencia, fin_vigencia FROM fx_sends
@@ -190,7 +190,7 @@ SELECT cust_id, frequency_total, row_number() OVER (ORDER BY frequency_total, cu
     "e8_custom_order": """
 SELECT rfm_segment, count(*) AS n, CAST(CASE rfm_segment WHEN 'Champions' THEN 0 WHEN 'Loyal' THEN 1 WHEN 'Nuevos' THEN 2
   WHEN 'En Riesgo' THEN 3 WHEN 'Perdidos' THEN 4 WHEN 'Otros' THEN 5 ELSE 99 END AS INT) AS position FROM rfm GROUP BY 1""",
-    "e9_top_campaigns": "SELECT campaign, redeemers_gm, pct_gm FROM rollup ORDER BY redeemers_gm DESC, campaign LIMIT 5",
+    "e9_top_campaigns": "SELECT campaign, redeemers_gm, pct_gm, CAST(row_number() OVER (ORDER BY redeemers_gm DESC, campaign) AS INT) AS place FROM rollup",
     "e12_mean_bands": """
 SELECT campaign,
   CASE WHEN pct_gm > (SELECT avg(pct_gm) FROM summary) * 1.1::DOUBLE THEN 'green' WHEN pct_gm < (SELECT avg(pct_gm) FROM summary) * 0.9::DOUBLE THEN 'red' ELSE 'yellow' END AS pct_gm_band,
@@ -205,7 +205,7 @@ FROM summary""",
         for s in ("Champions", "Loyal", "Nuevos", "En Riesgo", "Perdidos", "Otros")
     ) + " FROM rollup r",
     "f2_segment_pivot": _pivot(),
-    "f3_transition_matrix": _transition("true", f"CASE WHEN bool_or({_SEEN}) THEN {_NO_INFO} ELSE 0 END"),
+    "f3_transition_matrix": _transition("true", _NO_INFO),
     "f3_transition_active": _transition("GRUPO_CANJE_PRE <> 'NO_CANJEADOR_HISTORICO'", _NO_INFO),
     "f4_tier_segment": "SELECT tier, " + ", ".join(
         f"count(*) FILTER (rfm_segment = '{s}') AS {s.lower().replace(' ', '_')}" for s in ("Champions", "Loyal", "Nuevos", "En Riesgo", "Perdidos", "Otros")
@@ -262,12 +262,13 @@ FROM life2 GROUP BY 1, 2""",
     "h10_first_redemption": "SELECT * FROM first_red",
     "h11_redemption_daily": "SELECT * FROM red_daily",
     "h18_mail_campaigns": "SELECT * FROM mails",
-    "h19_campaign_mail_match": "SELECT * FROM camp_match",
+    "h19_campaign_mail_match": "SELECT nombre_campanha, fecha_envio, CAST(spelled > 0 AS INT) AS cruce_camp, greatest(spelled, 1) AS spellings FROM campaign_days",
     "h20_recipient_match": """
-SELECT canal, tipo_medicion, tipo_campanha, fecha_envio, nombre_campanha, tipo_cliente, rut, email_cliente AS email, count(*) AS n_matches
-FROM rcpt GROUP BY ALL""",
+SELECT canal, tipo_medicion, tipo_campanha, fecha_envio, nombre_campanha, tipo_cliente, rut, email_corporativo AS email,
+  CAST(sum(arrived) AS BIGINT) AS n_matches
+FROM arrivals GROUP BY ALL HAVING sum(arrived) > 0""",
     "h21_measurement_identity": """
-SELECT fecha_envio, nombre_campanha, tipo_cliente, gmgc, inicio_vigencia, fin_vigencia, rut_medicion, count(*) AS weight FROM identity GROUP BY ALL""",
+SELECT fecha_envio, nombre_campanha, tipo_cliente, gmgc, inicio_vigencia, fin_vigencia, rut_medicion, CAST(sum(weight) AS BIGINT) AS weight FROM measured GROUP BY ALL""",
     "h22_campaign_metrics": "SELECT * FROM metrics",
     "h22_campaign_metrics_dedupe": "SELECT * FROM metrics_single",
     "h24_attribution_window": "SELECT * FROM attr",
@@ -343,14 +344,14 @@ SELECT nombre_campanha, cust_id, CAST(month(fecha_envio) AS INT) AS mes_envio, C
   CAST(gmgc = 'GM' AS INT) AS es_gm, CAST(month(fecha_envio) = 11 AS INT) AS es_cyber_month, CAST(month(fecha_envio) = 12 AS INT) AS es_diciembre
 FROM outcome""",
     "i3_prepared_features": """
-SELECT nombre_campanha, o.cust_id, coalesce(tier, 'None') AS tier, coalesce(gender, 'None') AS gender, '0' AS city,
+SELECT nombre_campanha, o.cust_id, coalesce(tier, 'None') AS tier, coalesce(gender, 'None') AS gender, coalesce(CAST(city AS VARCHAR), 'None') AS city,
   coalesce(points_pressure, 0.0::DOUBLE) AS points_pressure,
   CAST(CASE WHEN upper(contact_push_flg) IN ('1','TRUE','SI','YES','Y') THEN 1 ELSE 0 END AS DOUBLE) AS contact_push_flg,
   CAST(CASE WHEN gmgc = 'GM' THEN 1 ELSE 0 END AS DOUBLE) AS es_gm, CAST(age AS DOUBLE) AS age
 FROM outcome o JOIN rfm r ON r.cust_id = o.cust_id""",
     "i4_ordinal_codes": """
-SELECT cust_id, CAST((SELECT count(DISTINCT coalesce(k.tier, 'None')) FROM rfm k WHERE k.dominant_retailer <> 'CH_E' AND coalesce(k.tier, 'None') < coalesce(r.tier, 'None')) AS INT) AS tier_code,
-  CAST(CASE WHEN dominant_retailer = 'CH_E' THEN -1 ELSE (SELECT count(DISTINCT k.dominant_retailer) FROM rfm k WHERE k.dominant_retailer <> 'CH_E' AND k.dominant_retailer < r.dominant_retailer) END AS INT) AS dominant_retailer_code
+SELECT cust_id, CAST((SELECT count(*) FROM (SELECT DISTINCT coalesce(tier, 'None') AS t FROM rfm) WHERE t < coalesce(r.tier, 'None')) AS INT) AS tier_code,
+  CAST((SELECT count(*) FROM (SELECT DISTINCT coalesce(dominant_retailer, 'None') AS t FROM rfm) WHERE t < coalesce(r.dominant_retailer, 'None')) AS INT) AS dominant_retailer_code
 FROM rfm r""",
     "i6_temporal_split": """
 SELECT CASE WHEN fecha_envio <= cutoff THEN 'train' ELSE 'test' END AS part, count(*) AS n, count(*) FILTER (canjeo_5d) AS positives,

@@ -66,14 +66,15 @@ _AUDIENCE = "SELECT * FROM (VALUES " + ", ".join(
     f"({k}, '{_SEGMENTS[(k + step) % 5]}')" for k in range(1, 13) for step in (0, 2)
 ) + ") AS t(camp, segment)"
 
-# All joins are equi-joins of the customers with a few literal rows; some customers have a second window.
+# All joins are equi-joins of the customers with a few literal rows; some customers have a second window. Some have no address,
+# a third of the others share one.
 _SENDS = """
 SELECT fecha_envio, nombre_campanha, c_custkey AS rut,
   CASE WHEN c_custkey % 5 = 0 THEN 'GC' ELSE 'GM' END AS gmgc,
   CASE c_custkey % 8 WHEN 7 THEN NULL WHEN 6 THEN 'OMP' WHEN 5 THEN 'OMP' ELSE 'BANCO' END AS tipo_cliente,
   CASE WHEN k % 2 = 0 THEN 'MAIL' ELSE 'PUSH' END AS canal, 'VIGENCIA' AS tipo_medicion,
   CASE WHEN k % 3 = 0 THEN 'TRIGGER' ELSE 'MASIVA' END AS tipo_campanha,
-  concat('c', CAST(c_custkey AS STRING), '@x.test') AS email_corporativo,
+  CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN 'shared@x.test' ELSE concat('c', CAST(c_custkey AS STRING), '@x.test') END AS email_corporativo,
   fecha_envio AS inicio_vigencia,
   fecha_envio + CAST(20 + w AS INT) AS fin_vigencia
 FROM {customer}
@@ -83,8 +84,9 @@ JOIN (VALUES (0, 0), (1, 0), (1, 5)) AS v(second, w) ON second = CASE WHEN c_cus
 """
 
 _MAIL_JOB = """
-SELECT k AS id_jobenvio, fecha_envio AS fecha_real, replace(nombre_campanha, ' ', '') AS desc_emailname
-FROM {campaigns} WHERE k % 4 <> 0
+SELECT k AS id_jobenvio, fecha_envio AS fecha_real, CASE WHEN spelling = 0 THEN replace(nombre_campanha, ' ', '') ELSE nombre_campanha END AS desc_emailname
+FROM {campaigns} JOIN (VALUES (0, 0), (1, 0), (1, 1)) AS v(twice, spelling) ON twice = CASE WHEN k % 6 = 1 THEN 1 ELSE 0 END
+WHERE k % 4 <> 0
 """
 
 _MAIL_SENT = """

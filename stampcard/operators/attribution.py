@@ -21,7 +21,7 @@ def redemption_daily(rdm: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
-def redemption_days(rdm: DataFrame, start: dt.date, whole_month: bool = False) -> DataFrame:
+def redemption_days(rdm: DataFrame, start: dt.date, whole_month: bool = True) -> DataFrame:
     """Sorted distinct redemption days per customer, read through the month column.
 
     A list holds at most one entry per calendar day since ``start``, however many redemptions a customer has.
@@ -45,7 +45,7 @@ def _flagged(windows: DataFrame, days: DataFrame, first, last) -> DataFrame:
 
 
 def attribute_redemptions(sends: DataFrame, rdm: DataFrame, start: dt.date, end: dt.date, mode: str = "reference",
-                          whole_month: bool = False) -> DataFrame:
+                          whole_month: bool = True) -> DataFrame:
     """CANJEO / NO CANJEO per customer send, by validity window.
 
     A customer may have several windows in one send. In reference mode the flag is the alphabetical maximum, so
@@ -60,7 +60,7 @@ def attribute_redemptions(sends: DataFrame, rdm: DataFrame, start: dt.date, end:
 
 
 def attribute_redemptions_horizon(sends: DataFrame, rdm: DataFrame, start: dt.date, end: dt.date, days: int = 5,
-                                  whole_month: bool = False) -> DataFrame:
+                                  whole_month: bool = True) -> DataFrame:
     """Whether the customer redeemed within ``days`` days of the send, both ends included."""
     windows = send_windows(sends, start, end)
     last = F.date_add("fecha_envio", days)

@@ -27,18 +27,22 @@ def mail_campaigns(mail: DataFrame, jobs: DataFrame, start: dt.date) -> DataFram
 
 
 def campaign_mail_match(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date) -> DataFrame:
-    """Per campaign and send date: 1 if any job name matches after removing spaces.
+    """Per campaign and send date: 1 if any job name matches after removing spaces, and the number of different
+    spellings that do (at least 1).
 
     Deliveries shrink to distinct (job, day) pairs before they meet the jobs.
     """
     days = mail.select("id_jobenvio", "fecha_real", "fecha_sent", F.lit("").alias("email_cliente")).distinct()
     named = mail_campaigns(days, jobs, start).where(F.col("desc_emailname").isNotNull())
-    matched = named.select(squash(F.col("desc_emailname")).alias("name_key"), F.col("fecha_sent").alias("fecha_envio"))
+    matched = named.select(
+        squash(F.col("desc_emailname")).alias("name_key"), F.col("fecha_sent").alias("fecha_envio"), F.col("desc_emailname").alias("spelling")
+    )
     campaigns = sends.select("fecha_envio", "nombre_campanha").distinct()
     keyed = campaigns.withColumn("name_key", squash(F.col("nombre_campanha")))
-    found = matched.distinct().withColumn("_hit", F.lit(1))
+    found = matched.groupBy("name_key", "fecha_envio").agg(F.countDistinct("spelling").alias("_n"))
     return keyed.join(found, ["name_key", "fecha_envio"], "left").select(
-        "nombre_campanha", "fecha_envio", F.coalesce("_hit", F.lit(0)).alias("cruce_camp")
+        "nombre_campanha", "fecha_envio", F.when(F.col("_n") > 0, 1).otherwise(0).alias("cruce_camp"),
+        F.coalesce("_n", F.lit(1)).cast("bigint").alias("spellings"),
     )
 
 
@@ -67,26 +71,39 @@ def recipient_match(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: d
     return matched.select(*kept, "email", (F.col("n_sends") * F.col("deliveries")).alias("n_matches"))
 
 
-def _tagged_sends(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Distinct sends with their count and, where their address was reached, the number of matches there."""
+def _counted_sends(sends: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Distinct sends of the range with their count."""
     ranged = _keyed(sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end))))
-    rows = ranged.groupBy(*_SEND, "name_key", "email", "rut").agg(F.count(F.lit(1)).alias("n"))
-    per_address = rows.groupBy(*_MATCH).agg(
-        F.sum("n").alias("n_sends"), (F.min("rut") == F.max("rut")).alias("one_customer")
+    return ranged.groupBy(*_SEND, "name_key", "email", "rut").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _reached(rows: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date) -> DataFrame:
+    """Addresses that mails reached: deliveries, number of matching pairs, and whether one customer is there.
+
+    A send without a customer counts as another customer.
+    """
+    alone = (F.min("rut") == F.max("rut")) & (F.count("rut") == F.count(F.lit(1)))
+    per_address = rows.where(F.col("email").isNotNull()).groupBy(*_MATCH).agg(
+        F.sum("n").alias("n_sends"), F.coalesce(alone, F.count("rut") == 0).alias("one_customer")
     )
-    reached = per_address.join(deliveries_per_address(mail, jobs, start), _MATCH).select(
+    return per_address.join(deliveries_per_address(mail, jobs, start), _MATCH).select(
         *_MATCH, "deliveries", "one_customer", (F.col("n_sends") * F.col("deliveries")).alias("n_matches")
     )
-    return rows.join(reached, _MATCH, "left")
 
 
 def identity_rows(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Measured customer and weight per send; a customer reached at several addresses has several rows.
 
-    The tagged sends are stored once, as two branches read them. Sends at an address of one customer, nearly
-    all of them, keep that customer and need no further join.
+    Sends without an address can match nothing, so each gets a key of its own and they spread over all tasks. The
+    reached addresses are stored, which leaves both sides of their join to be shuffled for it: adaptive execution then
+    splits an address that many sends share. Sends at an address of one customer, nearly all of them, keep that
+    customer and need no further join.
     """
-    tagged = materialize(_tagged_sends(sends, mail, jobs, start, end), "tagged-sends")
+    rows = _counted_sends(sends, start, end)
+    reached = materialize(_reached(rows, mail, jobs, start), "reached-addresses")
+    spread = F.coalesce("email", F.concat(F.lit("\0"), F.col("rut").cast("string")))
+    tagged = materialize(rows.withColumn("_email", spread).join(reached.withColumnRenamed("email", "_email"), ["name_key", "_email", "fecha_envio"], "left"), "tagged-sends")
+    campaigns = campaign_mail_match(sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end))), mail, jobs, start)
     treated = F.coalesce(F.col("gmgc") == "GM", F.lit(False))
     moved = treated & F.col("n_matches").isNotNull() & ~F.coalesce("one_customer", F.lit(True))
     own = tagged.where(~moved).select(
@@ -97,10 +114,17 @@ def identity_rows(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.
         (F.sum("n") * F.max("deliveries")).alias("n_reached")
     )
     per_address = tagged.where(moved).groupBy(*_SEND, "name_key", "email").agg(F.sum("n").alias("n"))
-    shifted = per_address.join(customers, _MATCH).select(
+    shifted = per_address.join(customers.where(F.col("rut_medicion").isNotNull()), _MATCH).select(
         *_SEND, "rut_medicion", (F.col("n") * F.col("n_reached")).alias("weight")
     )
-    return own.unionByName(shifted)
+    # a match with an unknown customer leaves the send with its own
+    unknown = customers.where(F.col("rut_medicion").isNull()).select(*_MATCH, "n_reached")
+    kept = tagged.where(moved).join(unknown, _MATCH).select(
+        *_SEND, F.col("rut").alias("rut_medicion"), (F.col("n") * F.col("n_reached")).alias("weight")
+    )
+    spelled = campaigns.where(F.col("spellings") > 1).select("nombre_campanha", "fecha_envio", "spellings")
+    every = own.unionByName(shifted).unionByName(kept).join(spelled, ["nombre_campanha", "fecha_envio"], "left")
+    return every.select(*_SEND, "rut_medicion", (F.col("weight") * F.coalesce("spellings", F.lit(1))).alias("weight"))
 
 
 def measurement_identity(sends: DataFrame, mail: DataFrame, jobs: DataFrame, start: dt.date, end: dt.date,
@@ -108,8 +132,8 @@ def measurement_identity(sends: DataFrame, mail: DataFrame, jobs: DataFrame, sta
     """Sends with the customer they are measured on (``rut_medicion``) and a fan-out ``weight``.
 
     A treated send of a campaign that was mailed is measured on every customer reached at its address, others
-    on their own customer. An address match implies that the campaign was mailed that day, so the campaign needs no
-    separate test. The weight is the number of rows a row-by-row match would give; treated sends are
+    on their own customer. An address match implies that the campaign was mailed that day. A campaign mailed under several
+    spellings of its name counts once for each. The weight is the number of rows a row-by-row match would give; treated sends are
     counted per address before they meet the customers reached there, so an address shared by many customers gives
     one row per customer, not one per pair. ``dedupe=True`` sets all weights to 1.
     """

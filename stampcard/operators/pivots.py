@@ -71,11 +71,11 @@ def funnel_table(metrics: DataFrame) -> DataFrame:
     ).orderBy("campaign", position_in(pre, FUNNEL_TABLE_ORDER), F.col("GMGC").desc())
 
 
-def transition_matrix(metrics: DataFrame, active_only: bool = False, all_states: bool = False) -> DataFrame:
+def transition_matrix(metrics: DataFrame, active_only: bool = False, all_states: bool = True) -> DataFrame:
     """Treated clients by prior state (rows) and later state (columns), zeros where nobody moved.
 
-    Columns are the funnel states plus the unknown state where it occurs as a prior state of that campaign, so a
-    campaign whose unknown state occurs only afterwards shows zero there; ``all_states=True`` keeps it.
+    Columns are the funnel states plus the unknown state, so rows add up to the treated base. With
+    ``all_states=False`` a campaign whose unknown state occurs only afterwards shows zero there.
     ``active_only`` leaves out customers who had never redeemed.
     """
     columns = [*FUNNEL_ORDER, UNKNOWN_STATE]

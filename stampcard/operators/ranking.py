@@ -213,7 +213,18 @@ def quantile_bins(df: DataFrame, value: str, tie: str, bins: int = 10, out: str
 
 
 def distributed_rank(df: DataFrame, value: str, tie: str, out: str = "rn", buckets: int | None = None) -> DataFrame:
-    """Unique 1-based rank of the order (value, tie): one exchange by bucket, none into one partition."""
+    """Unique 1-based rank of the order (value, tie): one exchange by bucket, none into one partition.
+
+    Null and NaN values have no rank.
+    """
+    unknown = F.col(value).isNull()
+    if dict(df.dtypes)[value] in ("double", "float"):
+        unknown = unknown | F.isnan(value)
+    ranked = _ranked(df.where(~unknown), value, tie, out, buckets)
+    return ranked.unionByName(df.where(unknown).withColumn(out, F.lit(None).cast("bigint")))
+
+
+def _ranked(df: DataFrame, value: str, tie: str, out: str, buckets: int | None) -> DataFrame:
     n, cuts = _plan_cuts(df, [value], tie, buckets)
     if n == 0:
         return df.withColumn(out, F.lit(None).cast("bigint"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
@@ -57,10 +57,9 @@ def _(m):
     return scans.scan_range(m.email(), "inicio_vigencia", dt.date(2000, 2, 5), dt.date(2000, 11, 30), scans.EMAIL_COLUMNS)
 
 
-@query("a3_capped_scan", "A3")
+@query("a3_projected_scan", "A3")
 def _(m):
-    key = ["fecha_envio", "nombre_campanha", "rut", "fin_vigencia"]
-    return scans.scan_capped(m.sends(), "fecha_envio", START, END, scans.SEND_COLUMNS, key, 1_000_000)
+    return scans.scan_range(m.sends(), "fecha_envio", START, END, scans.SEND_COLUMNS)
 
 
 @query("a4_snapshot_scan", "A4 G8")
@@ -142,8 +141,8 @@ def _(m):
 @query("a16_month_scan", "A16")
 def _(m):
     start = dt.date(2000, 3, 10)
-    asked = scans.scan_month_column(m.redemptions(), start).groupBy("mes").agg(F.count(F.lit(1)).alias("n"))
-    whole = scans.scan_month_column(m.redemptions(), start, whole_month=True).groupBy("mes").agg(F.count(F.lit(1)).alias("n_whole"))
+    asked = scans.scan_month_column(m.redemptions(), start, whole_month=False).groupBy("mes").agg(F.count(F.lit(1)).alias("n"))
+    whole = scans.scan_month_column(m.redemptions(), start).groupBy("mes").agg(F.count(F.lit(1)).alias("n_whole"))
     return whole.join(asked, "mes", "left")
 
 
@@ -239,8 +238,7 @@ def _(m):
 @query("c3_scores_to_sends", "C3")
 def _(m):
     attributed = attribution.attribute_redemptions(m.sends(), m.redemptions(), START, END)
-    high = m.rfm().where(F.col("f_score") >= 2)
-    return metrics.score_attributed(attributed, high, rfm.NO_SCORE).select(
+    return metrics.score_attributed(attributed, m.rfm(), rfm.NO_SCORE).select(
         "NOMBRE_CAMPANHA", "GMGC", "cust_id", "FLAG_CANJE", "rfm_segment", "r_score"
     )
 
@@ -350,8 +348,9 @@ def _(m):
 
 @query("e9_top_campaigns", "E9")
 def _(m):
-    ranked = reports.campaign_rollup(m.metrics()).select("campaign", "redeemers_gm", "pct_gm")
-    return ranked.orderBy(F.col("redeemers_gm").desc(), "campaign").limit(5)
+    """All campaigns with their place; the report shows the first ones. One row per campaign, so one window is small."""
+    place = F.row_number().over(Window.orderBy(F.col("redeemers_gm").desc(), "campaign"))
+    return reports.campaign_rollup(m.metrics()).select("campaign", "redeemers_gm", "pct_gm", place.alias("place"))
 
 
 @query("e12_mean_bands", "E12 H50")
@@ -384,7 +383,7 @@ def _(m):
 
 @query("f3_transition_active", "F3 H42")
 def _(m):
-    return pivots.transition_matrix(m.metrics(), active_only=True, all_states=True)
+    return pivots.transition_matrix(m.metrics(), active_only=True)
 
 
 @query("f4_tier_segment", "F4 H44")
@@ -734,7 +733,7 @@ def _(m):
 
 @query("i3_prepared_features", "I3 I5 A5")
 def _(m):
-    prepared = model.prepare(m.outcomes().join(m.rfm().drop("city"), "cust_id"), SPEND)
+    prepared = model.prepare(m.outcomes().join(m.rfm(), "cust_id"), SPEND)
     return prepared.select(
         "nombre_campanha", "cust_id", "tier", "gender", "city", "points_pressure", "contact_push_flg", "es_gm", "age"
     )
@@ -744,8 +743,7 @@ def _(m):
 def _(m):
     columns = ["tier", "dominant_retailer"]
     seen = model.fill_features(m.rfm(), [], columns)
-    known = seen.where(F.col("dominant_retailer") != "CH_E")
-    coded = model.ordinal_codes(model.ordinal_encoder(columns).fit(known), seen)
+    coded = model.ordinal_codes(model.ordinal_encoder(columns).fit(seen), seen)
     return coded.select("cust_id", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in columns])
 
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DateType, StringType, StructType, TimestampType
 
 from stampcard.functions.dates import last_closed_month
-from stampcard.operators.ranking import order_statistics
 
 # Columns of the e-mail feed and of the send-base export.
 EMAIL_COLUMNS = [
@@ -27,23 +26,6 @@ def scan_range(df: DataFrame, date_col: str, start: dt.date, end: dt.date, colum
     return ranged.select(*columns) if columns else ranged
 
 
-def scan_capped(df: DataFrame, date_col: str, start: dt.date, end: dt.date, columns: list[str], order_key: list[Column],
-                cap: int) -> DataFrame:
-    """Range scan keeping at most ``cap`` rows, chosen by a stable hash of the row.
-
-    The cut point is the exact ``cap``-th smallest (hash, row key), found without a sort of the
-    table and without the single partition in which a very large ``limit`` would end.
-    """
-    ranged = scan_range(df, date_col, start, end)
-    keyed = ranged.withColumn("_hash", F.xxhash64(*order_key)).withColumn("_tie", F.xxhash64(F.lit(7), *order_key))
-    total = keyed.count()
-    if total <= cap:
-        return ranged.select(*columns)
-    (cut,) = order_statistics(keyed, "_hash", "_tie", [cap])
-    below = (F.col("_hash") < cut.value) | ((F.col("_hash") == cut.value) & (F.col("_tie") <= cut.tie))
-    return keyed.where(below).select(*columns)
-
-
 def snapshot_at_last_close(df: DataFrame, today: dt.date, partition_col: str = "partition_date") -> DataFrame:
     """One partition, the month end before ``today``, as a literal so that static pruning applies."""
     return df.where(F.col(partition_col) == F.lit(last_closed_month(today)))
@@ -88,11 +70,11 @@ def resolve_column(df: DataFrame, candidates: list[str]) -> str | None:
     return next((name for name in candidates if name in df.columns), None)
 
 
-def scan_month_column(df: DataFrame, start: dt.date, month_col: str = "mes", whole_month: bool = False) -> DataFrame:
-    """Redemptions from ``start`` on by their month column.
+def scan_month_column(df: DataFrame, start: dt.date, month_col: str = "mes", whole_month: bool = True) -> DataFrame:
+    """Redemptions from ``start`` on by their month column, from the first of its month.
 
-    As the column holds the first of the month, a mid-month start drops that month;
-    ``whole_month=True`` keeps it.
+    As the column holds the first of the month, comparing it with a mid-month start as it stands drops that month;
+    ``whole_month=False`` does so.
     """
     first = start.replace(day=1) if whole_month else start
     return df.where(F.col(month_col) >= F.lit(first))

@@ -105,3 +105,10 @@ def test_infinite_values_rank_at_the_ends(spark):
     got = ranking.distributed_rank(df, "v", "k").orderBy("rn").toPandas()
     assert got["rn"].tolist() == list(range(1, 41))
     assert got["k"].tolist() == [*range(0, 40, 2), *range(1, 40, 2)]
+
+
+def test_nulls_and_nan_have_no_rank(spark):
+    data = [(1, 5.0), (2, None), (3, 1.0), (4, float("nan")), (5, None), (6, 3.0)]
+    df = spark.createDataFrame(data, "id BIGINT, v DOUBLE")
+    ranked = {r.id: r.rn for r in ranking.distributed_rank(df, "v", "id").collect()}
+    assert ranked == {1: 3, 2: None, 3: 1, 4: None, 5: None, 6: 2}
