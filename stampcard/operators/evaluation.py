@@ -28,11 +28,13 @@ def prior_ratio(base_rate: Column, sample_rate: Column) -> Column:
 def rescale_to_rate(df: DataFrame, p: str, observed: str, ratio: float, keys: list[str], out: str = "p_5dias") -> DataFrame:
     """Scale scores of each group to its observed rate; without one, correct by the prior.
 
-    The group means are one row per campaign and are joined back to the scores.
+    The group means are one row per campaign, stored, so that their size decides how they are joined back to the scores.
     """
-    means = df.groupBy(*keys).agg(
+    from stampcard.session import materialize
+
+    means = materialize(df.groupBy(*keys).agg(
         F.avg(F.col(observed).cast("int")).alias("_rate"), F.avg(p).alias("_mean")
-    )
+    ), "campaign-means")
     joined = df.join(means, keys)
     scaled = clip01(F.col(p) * F.try_divide(F.col("_rate"), F.col("_mean")))
     known = (F.col("_rate") > MIN_OBSERVED_RATE) & (F.col("_mean") > 0)

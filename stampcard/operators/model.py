@@ -1,20 +1,23 @@
-"""Training and scoring of the short-horizon redemption model with pyspark.ml."""
+"""Training, scoring and storing of the short-horizon redemption model with pyspark.ml."""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stampcard.functions.dates import send_calendar
 from stampcard.functions.text import MODEL_TRUE, truthy
 from stampcard.operators.evaluation import prior_correct, prior_ratio, rescale_to_rate, score_counts
 from stampcard.operators.ranking import order_statistics
+from stampcard.session import materialize, scratch_path
 
 # Model inputs by kind.
 CATEGORICAL = ["tier", "gender", "city", "rfm_segment", "dominant_retailer", "funnel_state_at_t0"]
@@ -36,6 +39,40 @@ CONTEXT = ["mes_envio", "dia_semana_envio", "es_gm", "es_cyber_month", "es_dicie
 MISSING_CATEGORY = "None"
 UNKNOWN_CODE = -1.0
 SEED = 42
+TREES, DEPTH = 500, 6
+#: Histogram bins of a numeric input; all inputs are numeric, so the widest category does not matter.
+BINS = 64
+#: Training rows wanted in a task.
+ROWS_PER_TASK = 50_000
+
+
+@dataclass
+class Bundle:
+    """All that scoring needs: codes of the categories, trees, calibration, and facts of the training.
+
+    ``facts`` holds prior ratio, base rate, importances, metrics, configuration and time; it is stored as JSON.
+    """
+
+    encoder: StringIndexerModel
+    trees: PipelineModel
+    spend_columns: list[str]
+    calibrator: IsotonicRegressionModel | None = None
+    facts: dict = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        self.trees.write().overwrite().save(f"{path}/trees")
+        if self.calibrator:
+            self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        spark = SparkSession.active()
+        stored = json.dumps({**self.facts, "spend_columns": self.spend_columns, "calibrated": self.calibrator is not None}, default=str)
+        spark.createDataFrame([(stored,)], "facts STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load_bundle(path: str) -> Bundle:
+    facts = json.loads(SparkSession.active().read.parquet(f"{path}/facts").first().facts)
+    calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if facts.pop("calibrated") else None
+    return Bundle(StringIndexerModel.load(f"{path}/encoder"), PipelineModel.load(f"{path}/trees"), facts.pop("spend_columns"), calibrator, facts)
 
 
 def numeric_inputs(spend_columns: list[str]) -> list[str]:
@@ -108,12 +145,9 @@ def temporal_cutoff(df: DataFrame, send_date: str, campaign: str, share: float =
     """
     last = df.groupBy(campaign).agg(F.max(send_date).alias("last"))
     dates = last.groupBy("last").agg(F.count(F.lit(1)).alias("n"))
-    spot = dates.agg(
-        F.expr(f"CAST(sum(n) * CAST({share} AS DOUBLE) AS BIGINT)").alias("spot"),
-        F.sort_array(F.collect_list(F.struct("last", "n"))).alias("ordered"),
-    )
-    flat = F.flatten(F.transform("ordered", lambda d: F.array_repeat(d["last"], d["n"].cast("int"))))
-    return spot.select(F.get(flat, F.col("spot").cast("int")).alias("cutoff"))
+    # one row a date: the running count is as short as the calendar
+    upto = dates.select("last", F.sum("n").over(Window.orderBy("last")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    return upto.where(F.col("upto") > F.expr(f"CAST(total * CAST({share} AS DOUBLE) AS BIGINT)")).agg(F.min("last").alias("cutoff"))
 
 
 def temporal_split(df: DataFrame, send_date: str, campaign: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -132,27 +166,53 @@ def feature_names(spend_columns: list[str]) -> list[str]:
     return [*[f"{c}_code" for c in CATEGORICAL], *FLAGS, *numeric_inputs(spend_columns), *CONTEXT]
 
 
-def train(df: DataFrame, label: str, spend_columns: list[str], trees: int = 500, depth: int = 6) -> PipelineModel:
-    """Boosted trees over prepared rows. ``trees`` is a parameter: 500 in production, few in tests."""
-    bins = max(32, 1 + max(df.agg(*[F.approx_count_distinct(c) for c in CATEGORICAL]).first()))
-    stages = [
-        ordinal_encoder(CATEGORICAL),
-        VectorAssembler(inputCols=feature_names(spend_columns), outputCol="features"),
-        GBTClassifier(
-            labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.03, subsamplingRate=0.9,
-            featureSubsetStrategy="0.6", minInstancesPerNode=5, maxBins=2 * bins, seed=SEED,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(df.withColumn("label", F.col(label).cast("double")))
+def train(df: DataFrame, label: str, spend_columns: list[str], trees: int = TREES, depth: int = DEPTH) -> Bundle:
+    """Boosted trees over prepared rows, categories as ordinal codes.
+
+    The library gathers the categories of a column on the driver, and its trees have no gamma, L1 or L2 penalty. Rows stay
+    with their tree nodes and the long chain of trees is cut by checkpoints.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(scratch_path(spark, "tree-checkpoints"))
+    encoder = ordinal_encoder(CATEGORICAL).fit(df)
+    rows = ordinal_codes(encoder, df).withColumn("label", F.col(label).cast("double"))
+    rows = materialize(rows.select("label", *feature_names(spend_columns)), "training-codes")
+    boosted = GBTClassifier(
+        labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.03, subsamplingRate=0.9,
+        featureSubsetStrategy="0.6", minInstancesPerNode=5, maxBins=BINS, seed=SEED, cacheNodeIds=True, checkpointInterval=10,
+    )
+    stages = [VectorAssembler(inputCols=feature_names(spend_columns), outputCol="features"), boosted]
+    fitted = Pipeline(stages=stages).fit(rows.repartition(max(1, rows.count() // ROWS_PER_TASK)))
+    weights = fitted.stages[-1].featureImportances.toArray()
+    facts = {"importance": {name: float(w) for name, w in zip(feature_names(spend_columns), weights)}, "trees": trees, "depth": depth}
+    return Bundle(encoder, fitted, spend_columns, None, facts)
 
 
-def score(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
+def score(bundle: Bundle, df: DataFrame, out: str = "p") -> DataFrame:
     """Probability of the positive class for prepared rows."""
-    scored = model.transform(df)
+    scored = bundle.trees.transform(ordinal_codes(bundle.encoder, df))
     made = [f"{c}_code" for c in CATEGORICAL] + ["features", "rawPrediction", "probability", "prediction"]
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*made)
 
 
+def train_propensity(df: DataFrame, label: str) -> PipelineModel:
+    """A model of its own over the propensity inputs, per customer."""
+    stages = [
+        VectorAssembler(inputCols=PROPENSITY, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"),
+        LogisticRegression(labelCol="label", featuresCol="features", regParam=0.01),
+    ]
+    return Pipeline(stages=stages).fit(fill_features(df, PROPENSITY, []).withColumn("label", F.col(label).cast("double")))
+
+
+def propensity_scores(model: PipelineModel | None, customers: DataFrame) -> DataFrame:
+    """``cust_id, propensity_score``; absent or null inputs are 0, without a model the score is null."""
+    if model is None:
+        return customers.select("cust_id", F.lit(None).cast("double").alias("propensity_score"))
+    scored = model.transform(fill_features(customers.select("cust_id", *[c for c in PROPENSITY if c in customers.columns]), PROPENSITY, []))
+    return scored.select("cust_id", vector_to_array("probability")[1].alias("propensity_score"))
+
+
 def isotonic(df: DataFrame, p: str, label: str) -> IsotonicRegressionModel:
     """Monotone map of scores to observed rates.
 
@@ -163,30 +223,42 @@ def isotonic(df: DataFrame, p: str, label: str) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="rows").fit(points)
 
 
+def sample_ratio(model: IsotonicRegressionModel, df: DataFrame, p: str, base_rate: float) -> float:
+    """Odds of the base rate over odds of the mean calibrated score."""
+    mapped = model.setFeaturesCol(p).setPredictionCol("_iso").transform(df)
+    return mapped.agg(F.avg("_iso").alias("mean")).select(prior_ratio(F.lit(base_rate), F.col("mean")).alias("r")).first().r
+
+
 def calibrate(model: IsotonicRegressionModel, df: DataFrame, p: str, base_rate: float, out: str = "cal") -> DataFrame:
     """Isotonic map, then prior correction from the sampled mean to the real base rate."""
     mapped = model.setFeaturesCol(p).setPredictionCol("_iso").transform(df)
-    ratio = prior_ratio(F.lit(base_rate), mapped.agg(F.avg("_iso")).scalar())
-    return mapped.withColumn(out, prior_correct(F.col("_iso"), ratio)).drop("_iso")
+    return mapped.withColumn(out, prior_correct(F.col("_iso"), F.lit(sample_ratio(model, df, p, base_rate)))).drop("_iso")
+
 
+def importance(bundle: Bundle, spark: SparkSession) -> DataFrame:
+    """All feature importances with their place; a report shows the first ones."""
+    ordered = sorted(bundle.facts["importance"].items(), key=lambda x: (-x[1], x[0]))
+    rows = [(name, weight, place) for place, (name, weight) in enumerate(ordered, 1)]
+    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE, place INT")
 
-def importance(model: PipelineModel, spark: SparkSession, spend_columns: list[str], top: int = 15) -> DataFrame:
-    """Highest feature importances of the boosted trees."""
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(weight)) for name, weight in zip(feature_names(spend_columns), weights)]
-    return spark.createDataFrame(rows, "feature STRING, importance DOUBLE").orderBy(F.col("importance").desc()).limit(top)
 
+def _scored_with_segment(bundle: Bundle, rows: DataFrame) -> DataFrame:
+    kept = rows.withColumn("_segment", F.col("rfm_segment"))
+    return score(bundle, prepare(kept, bundle.spend_columns)).drop("rfm_segment").withColumnRenamed("_segment", "rfm_segment")
 
-def predict_audience(model: PipelineModel, audience: DataFrame, send_date: dt.date, spend_columns: list[str], ratio: float) -> DataFrame:
+
+def predict_audience(bundle: Bundle, audience: DataFrame, send_date: dt.date) -> DataFrame:
     """Probability of each customer of a future send, all treated, corrected by the prior as nothing is observed yet."""
-    planned = audience.withColumns({"fecha_envio": F.lit(send_date), "gmgc": F.lit("GM"), "_segment": F.col("rfm_segment")})
-    scored = score(model, prepare(planned, spend_columns)).drop("rfm_segment").withColumnRenamed("_segment", "rfm_segment")
-    return scored.withColumn("p_5dias", prior_correct(F.col("p"), F.lit(ratio)))
+    planned = audience.withColumns({"fecha_envio": F.lit(send_date), "gmgc": F.lit("GM")})
+    return _scored_with_segment(bundle, planned).withColumn("p_5dias", prior_correct(F.col("p"), F.lit(bundle.facts["prior_ratio"])))
+
 
+def predict_campaigns(bundle: Bundle, audience: DataFrame, features: DataFrame, outcome: str = "canjeo") -> DataFrame:
+    """Probability of each customer send at the campaign's latest date, rescaled per campaign to its observed rate.
 
-def predict_campaigns(model: PipelineModel, audience: DataFrame, features: DataFrame, spend_columns: list[str],
-                      ratio: float, outcome: str = "canjeo") -> DataFrame:
-    """Calibrated probability of each customer send, rescaled per campaign to its observed rate."""
-    rows = audience.join(features, "cust_id", "left").withColumn("_segment", F.col("rfm_segment"))
-    scored = score(model, prepare(rows, spend_columns)).drop("rfm_segment").withColumnRenamed("_segment", "rfm_segment")
-    return rescale_to_rate(scored, "p", outcome, ratio, ["nombre_campanha"])
+    Scores are stored, as their means are needed before they are scaled.
+    """
+    dates = audience.groupBy("nombre_campanha").agg(F.max("fecha_envio").alias("_latest"))
+    rows = audience.join(dates, "nombre_campanha").withColumn("fecha_envio", F.col("_latest")).drop("_latest").join(features, "cust_id", "left")
+    scored = materialize(_scored_with_segment(bundle, rows), "campaign-scores")
+    return rescale_to_rate(scored, "p", outcome, bundle.facts["prior_ratio"], ["nombre_campanha"])

@@ -28,7 +28,6 @@ COVERS: dict[str, str] = {}
 
 PRIOR_RATIO = 0.25
 VALUE_PER_POINT = 0.01
-TEST_TREES, TEST_DEPTH = 5, 4
 
 
 def query(name: str, covers: str):
@@ -795,13 +794,11 @@ def _(m):
 
 
 def _trained(m: Marts):
+    """One training per session and data folder, with the production settings."""
     key = (m.spark.sparkContext.applicationId, m.sf_dir)
     if key not in _models:
         path = scratch_path(m.spark, "model")
-        fitted, kpis = jobs.train_campaign_model(
-            m.sends(), m.redemptions(), m.rfm(), START, END, SPEND, path, TEST_TREES, TEST_DEPTH
-        )
-        _models[key] = (fitted, kpis, path)
+        _models[key] = (*jobs.train_campaign_model(m.sends(), m.redemptions(), m.rfm(), START, END, SPEND, path), path)
     return _models[key]
 
 
@@ -813,11 +810,27 @@ def _(m):
     return _trained(m)[1]
 
 
-@query("i8_propensity_scores", "I8 I3")
+@query("i7_training_facts", "I7 I17")
 def _(m):
-    """Score all customers with the trained model, as treated in a send of the last day."""
-    rows = m.rfm().withColumns({"fecha_envio": F.lit(T0), "gmgc": F.lit("GM")})
-    return model.score(_trained(m)[0], model.prepare(rows, SPEND)).select("cust_id", "p")
+    """What the trees do not change: sample, campaigns, cutoff and base rate."""
+    return _trained(m)[1].select(
+        (F.col("n_train") + F.col("n_test")).alias("n_rows"), "n_campaigns", "cutoff_date", F.round("base_rate_real", 8).alias("base_rate_real"),
+    )
+
+
+@query("i8_propensity_scores", "I8")
+def _(m):
+    """A model over the propensity inputs, fitted on whether the customer redeemed after any send, scores all customers."""
+    redeemed = m.outcomes().groupBy("cust_id").agg(F.bool_or("canjeo_5d").alias("redeemed"))
+    fitted = model.train_propensity(m.rfm().join(redeemed, "cust_id"), "redeemed")
+    return model.propensity_scores(fitted, m.rfm())
+
+
+@query("i8_scored_customers", "I8")
+def _(m):
+    """All customers have one score between 0 and 1."""
+    scored = QUERIES["i8_propensity_scores"](m)
+    return scored.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cust_id").alias("customers"), F.count_if(F.col("propensity_score").between(0, 1)).alias("in_range"))
 
 
 @query("i9_isotonic", "I9")
@@ -828,32 +841,52 @@ def _(m):
 
 @query("i16_importance", "I16 E9")
 def _(m):
-    return model.importance(_trained(m)[0], m.spark, SPEND)
+    return model.importance(_trained(m)[0], m.spark)
 
 
-@query("i17_saved_model", "I17")
+@query("i16_importance_facts", "I16")
 def _(m):
-    from pyspark.ml import PipelineModel
+    """One weight for each input, adding up to one."""
+    table = model.importance(_trained(m)[0], m.spark)
+    return table.agg(F.count(F.lit(1)).alias("n_features"), F.round(F.sum("importance"), 6).alias("total"))
+
 
-    path = _trained(m)[2]
-    restored = PipelineModel.load(f"{path}/model")
-    rows = m.rfm().withColumns({"fecha_envio": F.lit(T0), "gmgc": F.lit("GM")})
-    scored = model.score(restored, model.prepare(rows, SPEND))
-    return scored.groupBy("rfm_segment").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+@query("i17_saved_model", "I17")
+def _(m):
+    """The stored bundle and the one in memory score all customers alike."""
+    bundle, _, path = _trained(m)
+    restored = model.load_bundle(path)
+    rows = model.prepare(m.rfm().withColumns({"fecha_envio": F.lit(T0), "gmgc": F.lit("GM")}), SPEND)
+    both = model.score(bundle, rows).select("cust_id", "p").join(model.score(restored, rows).select("cust_id", F.col("p").alias("q")), "cust_id")
+    same_facts = {k: v for k, v in restored.facts.items() if k not in ("metrics",)} == {k: v for k, v in bundle.facts.items() if k not in ("metrics",)}
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") != F.col("q")).alias("n_different")).withColumn("same_facts", F.lit(same_facts))
 
 
 @query("i18_audience_plan", "I18 H47")
 def _(m):
     chosen = planning.audience(m.rfm(), _AUDIENCE)
-    predicted = model.predict_audience(_trained(m)[0], chosen, dt.date(2001, 1, 15), SPEND, PRIOR_RATIO)
+    predicted = model.predict_audience(_trained(m)[0], chosen, dt.date(2001, 1, 15))
     return planning.audience_plan(predicted, VALUE_PER_POINT, planning.average_points(m.rfm(), ["avg_redeem_points"]))
 
 
-@query("i18_campaign_predictions", "I18 I11")
-def _(m):
+def _campaign_predictions(m: Marts) -> DataFrame:
     sends = m.attributed().select(
         "cust_id", F.col("FECHA_ENVIO").alias("fecha_envio"), F.col("NOMBRE_CAMPANHA").alias("nombre_campanha"),
         F.col("GMGC").alias("gmgc"), (F.col("FLAG_CANJE") == "CANJEO").alias("canjeo"),
     )
-    predicted = model.predict_campaigns(_trained(m)[0], sends, m.rfm(), SPEND, PRIOR_RATIO)
-    return predicted.select("nombre_campanha", "cust_id", "gmgc", "rfm_segment", "p", "p_5dias")
+    return model.predict_campaigns(_trained(m)[0], sends, m.rfm().drop("fecha_envio"))
+
+
+@query("i18_campaign_predictions", "I18 I11")
+def _(m):
+    return _campaign_predictions(m).select("nombre_campanha", "cust_id", "gmgc", "rfm_segment", "p", "p_5dias")
+
+
+@query("i18_campaign_rates", "I18 I11")
+def _(m):
+    """Per campaign: rows, observed rate, and whether the mean of the scaled scores is that rate (clipping can only lower it)."""
+    rate, mean = F.avg(F.col("canjeo").cast("int")), F.avg("p_5dias")
+    near = F.when(F.max("p_5dias") < 1, F.abs(mean - rate) < 1e-6).otherwise(mean <= rate + 1e-9)
+    return _campaign_predictions(m).groupBy("nombre_campanha").agg(
+        F.count(F.lit(1)).alias("n"), F.round(rate, 8).alias("rate"), near.alias("keeps_rate"), F.count_if(F.col("p_5dias").between(0, 1)).alias("in_range")
+    )

@@ -60,10 +60,10 @@ def extract(data: Entities, start: dt.date, end: dt.date, t0: dt.date, channels:
 
 
 def train_campaign_model(sends: DataFrame, redemptions: DataFrame, rfm: DataFrame, start: dt.date, end: dt.date,
-                         spend_columns: list[str], path: str | None = None, trees: int = 500, depth: int = 6):
+                         spend_columns: list[str], path: str | None = None, trees: int = model.TREES, depth: int = model.DEPTH):
     """Sample, join features, split by time, fit, calibrate and evaluate.
 
-    Returns the model and a one-row frame of metrics; with ``path`` both are saved. The sample is drawn before
+    Returns the bundle and a one-row frame of metrics; with ``path`` both are saved. The sample is drawn before
     the feature join and stored, as every later step reads it again.
     """
     label, keys = "canjeo_5d", ["fecha_envio", "nombre_campanha", "gmgc", "cust_id"]
@@ -78,7 +78,9 @@ def train_campaign_model(sends: DataFrame, redemptions: DataFrame, rfm: DataFram
     kept = [*keys, label]
     scored = materialize(model.score(fitted, test).select(*kept, "p"), "test-scores")
     scored_train = model.score(fitted, train).select(*kept, "p")
-    calibrated = materialize(model.calibrate(model.isotonic(scored, "p", label), scored, "p", real_rate), "calibrated")
+    fitted.calibrator = model.isotonic(scored, "p", label)
+    ratio = model.sample_ratio(fitted.calibrator, scored, "p", real_rate)
+    calibrated = materialize(model.calibrate(fitted.calibrator, scored, "p", real_rate), "calibrated")
     on_test = evaluation.ranking_metrics(scored, "p", label).select("auc", "average_precision")
     on_train = evaluation.ranking_metrics(scored_train, "p", label)
     deciles = evaluation.decile_table(calibrated.withColumn("_tie", F.xxhash64(*keys)), "p", "cal", label, "_tie")
@@ -88,6 +90,7 @@ def train_campaign_model(sends: DataFrame, redemptions: DataFrame, rfm: DataFram
             "brier_cal": evaluation.brier(calibrated, "cal", label).scalar(),
             "lift_top_decile": evaluation.top_decile_lift(deciles).scalar(),
             "base_rate_real": F.lit(real_rate),
+            "prior_ratio": F.lit(ratio),
             "n_train": train.agg(F.count(F.lit(1))).scalar(),
             "n_test": test.agg(F.count(F.lit(1))).scalar(),
             "n_campaigns": outcomes.agg(F.countDistinct("nombre_campanha")).scalar(),
@@ -99,7 +102,8 @@ def train_campaign_model(sends: DataFrame, redemptions: DataFrame, rfm: DataFram
     ).withColumn("overfit_gap", F.col("auc_train") - F.col("auc"))
     metrics = metrics.withColumn("overfit", evaluation.overfit_check(F.col("auc_train"), F.col("auc")))
     metrics = materialize(metrics, "model-metrics")
+    fitted.facts |= {"prior_ratio": ratio, "base_rate_real": real_rate, "metrics": metrics.first().asDict(), "trained_at": dt.datetime.now().isoformat()}
     if path:
-        fitted.write().overwrite().save(f"{path}/model")
+        fitted.save(path)
         write_parquet(metrics, f"{path}/metrics")
     return fitted, metrics

@@ -6,9 +6,10 @@ import datetime as dt
 import os
 
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
+from stampcard.operators import model
 from stampcard.plans import jobs
 from stampcard.plans.marts import Marts
 from stampcard.schemas import schema
@@ -59,6 +60,13 @@ def test_csv_round_trip(spark, marts, tmp_path):
     assert content(back) == content(marts.rfm_cube())
 
 
+def _test_scores(spark, bundle, marts):
+    """Scores of the sampled rows after the cutoff, as in the training."""
+    keys = ["fecha_envio", "nombre_campanha", "gmgc", "cust_id"]
+    sample = model.downsample(marts.outcomes(), "canjeo_5d", keys).join(marts.rfm(), "cust_id")
+    return model.score(bundle, model.prepare(sample, SPEND).where(F.col("fecha_envio") > dt.date(2000, 10, 5)))
+
+
 def test_train_saves_model_and_metrics(spark, tmp_path):
     marts = Marts(spark, SF_SMALL.replace("sf0.001", "sf0.01"))
     path = str(tmp_path / "bundle")
@@ -66,7 +74,14 @@ def test_train_saves_model_and_metrics(spark, tmp_path):
     row = metrics.first()
     assert 0 <= row.auc <= 1 and 0 <= row.average_precision <= 1 and row.n_test > 0
     assert row.cutoff_date == dt.date(2000, 10, 5)
-    assert len(PipelineModel.load(f"{path}/model").stages) == len(fitted.stages)
+    stored = model.load_bundle(path)
+    assert len(stored.trees.stages) == len(fitted.trees.stages) and stored.calibrator.boundaries == fitted.calibrator.boundaries
+    assert stored.facts["prior_ratio"] == fitted.facts["prior_ratio"] == row.prior_ratio and stored.facts["trained_at"]
+    mean = fitted.calibrator.setFeaturesCol("p").setPredictionCol("iso").transform(_test_scores(spark, fitted, marts)).agg(F.avg("iso")).first()[0]
+    odds = lambda x: x / (1 - x)
+    assert row.prior_ratio == pytest.approx(odds(row.base_rate_real) / odds(mean), rel=1e-6)
+    planned = model.predict_audience(stored, marts.rfm().limit(20), dt.date(2001, 1, 15))
+    assert planned.count() == 20 and planned.where("p_5dias < 0 OR p_5dias > 1").count() == 0
     assert spark.read.parquet(f"{path}/metrics").count() == 1
 
 

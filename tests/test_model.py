@@ -122,3 +122,20 @@ def test_absent_inputs_become_zero(spark):
     df = spark.createDataFrame([(1, None, "si")], "age INT, stock_points BIGINT, contact_push_flg STRING")
     out = model.fill_features(model.encode_flags(df, ["contact_push_flg"]), ["age", "stock_points", "tenure_months"], ["tier"]).first()
     assert (out.age, out.stock_points, out.tenure_months, out.tier, out.contact_push_flg) == (1.0, 0.0, 0.0, "0", 1.0)
+
+
+def test_wide_category_trains_with_fixed_bins(spark):
+    rows = spark.range(6000).select(
+        F.col("id").alias("cust_id"), (F.col("id") % 5000).cast("string").alias("city"), (F.col("id") % 7 < 3).alias("y"),
+        F.lit(dt.date(2000, 5, 1)).alias("fecha_envio"), F.lit("GM").alias("gmgc"), (F.col("id") % 7).alias("age"),
+    )
+    prepared = model.prepare(rows, [])
+    bundle = model.train(prepared, "y", [], trees=3, depth=2)
+    assert model.score(bundle, prepared.withColumn("city", F.lit("unseen"))).where("p BETWEEN 0 AND 1").count() == 6000
+
+
+def test_propensity_fills_absent_inputs(spark):
+    data = spark.range(100).select(F.col("id").alias("cust_id"), F.when(F.col("id") % 9 > 0, F.col("id") % 10).alias("frequency_total"), (F.col("id") % 10 > 5).alias("y"))
+    fitted = model.train_propensity(data, "y")
+    assert model.propensity_scores(fitted, data).where("propensity_score BETWEEN 0 AND 1").count() == 100
+    assert model.propensity_scores(None, data).where("propensity_score IS NULL").count() == 100
