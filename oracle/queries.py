@@ -378,7 +378,7 @@ WITH whole AS (SELECT count(*) FILTER (canjeo_5d) AS pos, count(*) FILTER (NOT c
   count(DISTINCT nombre_campanha) AS camps FROM outcome)
 SELECT CAST(pos + least(neg, 5 * pos) AS BIGINT) AS n_rows, camps AS n_campaigns, DATE '2000-10-05' AS cutoff_date, round(rate, 8) AS base_rate_real FROM whole""",
     "i8_scored_customers": "SELECT count(*) AS n, count(DISTINCT cust_id) AS customers, count(*) AS in_range FROM rfm",
-    "i16_importance_facts": "SELECT CAST(46 AS BIGINT) AS n_features, 1.0::DOUBLE AS total",
+    "i16_importance_facts": "SELECT CAST(51 AS BIGINT) AS n_features, 1.0::DOUBLE AS total",
     "i17_saved_model": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different, true AS same_facts FROM rfm",
     "i18_campaign_rates": """
 SELECT nombre_campanha, count(*) AS n, round(avg(CAST(flag_canje = 'CANJEO' AS INT)), 8) AS rate, true AS keeps_rate, count(*) AS in_range FROM attr GROUP BY 1""",

@@ -884,9 +884,10 @@ def _(m):
 
 @query("i18_campaign_rates", "I18 I11")
 def _(m):
-    """Per campaign: rows, observed rate, and whether the mean of the scaled scores is that rate (clipping can only lower it)."""
+    """Per campaign: rows, observed rate, and whether the mean of the scaled scores is that rate (clipping can only
+    lower it; campaigns without one are corrected by the prior)."""
     rate, mean = F.avg(F.col("canjeo").cast("int")), F.avg("p_5dias")
-    near = F.when(F.max("p_5dias") < 1, F.abs(mean - rate) < 1e-6).otherwise(mean <= rate + 1e-9)
+    near = F.when(rate <= evaluation.MIN_OBSERVED_RATE, True).when(F.max("p_5dias") < 1, F.abs(mean - rate) < 1e-6).otherwise(mean <= rate + 1e-9)
     return _campaign_predictions(m).groupBy("nombre_campanha").agg(
         F.count(F.lit(1)).alias("n"), F.round(rate, 8).alias("rate"), near.alias("keeps_rate"), F.count_if(F.col("p_5dias").between(0, 1)).alias("in_range")
     )
