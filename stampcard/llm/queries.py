@@ -41,7 +41,36 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op6_quality_ledger")
+_QUALITY_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS kept_lines
+  FROM documents
+),
+grams AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts WHERE len(words) > 3)
+),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+measured AS (
+  SELECT t.doc_id, len(words) AS n_words, CAST(length(list_aggregate(words, 'string_agg', '')) AS BIGINT) AS chars,
+         CAST(length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(kept_lines) - len(list_distinct(kept_lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(kept_lines) AS n_lines, length(regexp_replace(body, '[^A-Za-z]', '', 'g')) AS n_letters,
+         length(regexp_replace(body, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(body, '[^!]', '', 'g')) AS n_exclaims
+  FROM texts t LEFT JOIN covered c ON c.doc_id = t.doc_id
+),
+ruled AS (
+  SELECT *, coalesce(chars, 0) AS word_chars, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+    + 8 * (10 * n_dup_lines > 3 * n_lines)::INT + 16 * (coalesce(chars, 0) < 2 * n_words OR coalesce(chars, 0) > 20 * n_words)::INT
+    + 32 * (2 * n_capitals > n_letters)::INT + 64 * (5 * n_exclaims > n_words)::INT AS BIGINT) AS fail_bits
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM ruled
+"""
+
+
+@query("op6_quality_ledger", _QUALITY_SQL)
 def quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return entries.select(
@@ -63,7 +92,32 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op7_licence_scan")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENCE_SQL = r"""
+WITH known(name, norm) AS (VALUES {known}),
+rules(licence, ids) AS (VALUES {rules}),
+cut AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.;!?])\s+([^0-9\s])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS sentence FROM documents
+),
+placed AS (SELECT doc_id, row_number() OVER () AS place, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm FROM cut),
+named AS (
+  SELECT doc_id, place, CASE WHEN regexp_matches(p.norm, '^copyright [0-9c]') THEN 'copyright' ELSE name END AS id FROM placed p LEFT JOIN known k ON k.norm = p.norm
+),
+joined AS (SELECT doc_id, string_agg(id, '|' ORDER BY place) AS ids FROM named WHERE id IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, coalesce(j.ids, '') AS sentence_ids,
+  coalesce((SELECT string_agg(DISTINCT licence, ',' ORDER BY licence) FROM rules r WHERE contains('|' || j.ids || '|', r.ids)
+    AND NOT EXISTS (SELECT 1 FROM rules o WHERE o.ids <> r.ids AND contains(o.ids, r.ids) AND contains('|' || j.ids || '|', o.ids))), '') AS licences
+FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id
+""".format(
+    known=", ".join(f"({_quoted(name)}, {_quoted(licences.normal_sentence(s))})" for name, s in licences.SENTENCES.items()),
+    rules=", ".join(f"({_quoted(name)}, {_quoted('|' + '|'.join(ids) + '|')})" for name, ids in licences.RULES),
+)
+
+
+@query("op7_licence_scan", _LICENCE_SQL)
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("sentence_ids", "|").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
@@ -91,7 +145,7 @@ FROM known
 
 @query("op2_url_rules", _URL_SQL)
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS t(host, path, verdict)")
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -105,7 +159,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ),
 marked AS (
-  SELECT *, length(body) + length(regexp_replace(body, '[^\]', '', 'g'))
+  SELECT *, length(body) + (length(body) - length(replace(body, chr(92), '')))
          + len(regexp_extract_all(body, '<\||</?s>|\[/?INST\]|<</?SYS>>')) AS written FROM turns
 ),
 joined AS (
@@ -122,7 +176,7 @@ FROM joined
 
 @query("op10_chat_format", _CHAT_SQL)
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT CAST(c AS LONG), CAST(t AS LONG), r, x FROM VALUES {', '.join(map(str, EXTRA_CHAT))} AS t(c, t, r, x)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
     formatted = chat.format_chats(rows)
     read = formatted.select("conv_id", "formatted", chat.parse_chat(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
