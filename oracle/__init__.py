@@ -11,6 +11,8 @@ import re
 from oracle.blocks import CTES
 from oracle.queries import QUERIES
 
+#: Blocks that several others read and that are costly to compute again.
+STORED = {"fx_funnel", "life", "life3", "state", "measured"}
 _WORD = re.compile(r"[a-z_][a-z0-9_]*")
 
 
@@ -24,7 +26,7 @@ def compose(select: str) -> str:
                 needed.append(name)
 
     visit(select)
-    head = ",\n".join(f"{name} AS (\n{CTES[name].strip()}\n)" for name in needed)
+    head = ",\n".join(f"{name} AS {'MATERIALIZED ' * (name in STORED)}(\n{CTES[name].strip()}\n)" for name in needed)
     return f"WITH {head}\n{select.strip()}" if needed else select.strip()
 
 

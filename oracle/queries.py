@@ -254,6 +254,15 @@ SELECT rfm_segment, count(*) AS customers, round(avg(r_score), 4) AS mean_r_scor
     "h43_segment_kpis": "SELECT count(*) AS customers, count(DISTINCT rfm_segment) AS segments, median(recency_days) AS median_recency FROM rfm",
     "h13_acumulador": "SELECT partition_date, cust_id, tipo_acumulador, tipo_acumulador_detallado FROM life3",
     "h15_canjeador": "SELECT partition_date, cust_id, tipo_canjeador, tipo_canjeador_detallado FROM life3",
+    "h12_close_counts": """
+SELECT partition_date, partition_cierre, loy_categoria, loy_categoria_cierre, count(*) AS n, CAST(sum(flag_acumulador) AS BIGINT) AS buyers,
+  CAST(sum(flag_acumulador_cierre) AS BIGINT) AS buyers_at_close, CAST(sum(flag_canjeador_12_24m_cierre) AS BIGINT) AS redeemers_at_close,
+  max(ultima_compra_cierre) AS last_buy_at_close, max(ultimo_canje_cierre) AS last_redeem_at_close FROM life GROUP BY ALL""",
+    "b8_upper_tier_counts": "SELECT partition_date, upper(loy_categoria) AS tier, count(*) AS n, count(DISTINCT cust_id) AS customers FROM life GROUP BY ALL",
+    "h13_acumulador_counts": """
+SELECT partition_date, loy_categoria, tipo_acumulador, tipo_acumulador_detallado, count(*) AS n, count(DISTINCT cust_id) AS customers FROM life3 GROUP BY ALL""",
+    "h15_canjeador_counts": """
+SELECT partition_date, loy_categoria, tipo_canjeador, tipo_canjeador_detallado, count(*) AS n, count(DISTINCT cust_id) AS customers FROM life3 GROUP BY ALL""",
     "h17_funnel_groups": """
 SELECT partition_date, CASE WHEN tipo_canjeador IN ('NO_CANJEADOR_HISTORICO','NUEVO','RECUPERADO') THEN tipo_canjeador
     WHEN tipo_canjeador IN ('NO_CANJEADOR_FUNNEL','EX_CANJEADOR_NO_PARTICIPANTE','FUGADOS') THEN 'FUGADOS'

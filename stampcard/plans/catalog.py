@@ -259,7 +259,8 @@ def _(m):
 @query("c7_state_at", "C7")
 def _(m):
     windows = m.sends().select("nombre_campanha", "rut", "inicio_vigencia", "fin_vigencia")
-    states = lifecycle.states_on(m.snapshots(), metrics.send_days(windows), START)
+    asked = windows.select(F.col("rut").alias("cust_id")).distinct()
+    states = lifecycle.states_on(m.snapshots(), metrics.send_days(windows), START, asked)
     return lifecycle.state_at(windows, states, {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"})
 
 
@@ -511,6 +512,38 @@ def _(m):
     return out.select("partition_date", "cust_id", "tipo_canjeador", "tipo_canjeador_detallado")
 
 
+def _counted(states: DataFrame, *by: str) -> DataFrame:
+    return states.groupBy("partition_date", *by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cust_id").alias("customers"))
+
+
+@query("h12_close_counts", "H12 C6")
+def _(m):
+    base = lifecycle.lifecycle_base(m.snapshots(), START)
+    return base.groupBy("partition_date", "partition_cierre", "loy_categoria", "loy_categoria_cierre").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("flag_acumulador").alias("buyers"), F.sum("flag_acumulador_cierre").alias("buyers_at_close"),
+        F.sum("flag_canjeador_12_24m_cierre").alias("redeemers_at_close"), F.max("ultima_compra_cierre").alias("last_buy_at_close"),
+        F.max("ultimo_canje_cierre").alias("last_redeem_at_close"),
+    )
+
+
+@query("b8_upper_tier_counts", "B8 B9")
+def _(m):
+    base = lifecycle.lifecycle_base(m.snapshots(), START)
+    return _counted(base.drop("loy_categoria_cierre").withColumn("tier", F.upper("loy_categoria")).drop("loy_categoria"), "tier")
+
+
+@query("h13_acumulador_counts", "H13 H14 B3")
+def _(m):
+    states = lifecycle.acumulador(lifecycle.lifecycle_base(m.snapshots(), START), detailed=True)
+    return _counted(states, "loy_categoria", "tipo_acumulador", "tipo_acumulador_detallado")
+
+
+@query("h15_canjeador_counts", "H15 H16 B3 B7")
+def _(m):
+    states = lifecycle.canjeador(lifecycle.lifecycle_base(m.snapshots(), START), detailed=True)
+    return _counted(states, "loy_categoria", "tipo_canjeador", "tipo_canjeador_detallado")
+
+
 @query("h17_funnel_groups", "H17")
 def _(m):
     states = lifecycle.canjeador(lifecycle.lifecycle_base(m.snapshots(), START))
