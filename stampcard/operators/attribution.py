@@ -49,14 +49,14 @@ def attribute_redemptions(sends: DataFrame, rdm: DataFrame, start: dt.date, end:
     """CANJEO / NO CANJEO per customer send, by validity window.
 
     A customer may have several windows in one send. In reference mode the flag is the alphabetical maximum, so
-    one unmatched window makes the send NO CANJEO; ``mode="any"`` takes any match.
+    one unmatched window makes the send NO CANJEO; ``mode="any"`` takes any match, ``mode="both"`` adds it as ``flag_any``.
     """
     windows = send_windows(sends, start, end, "inicio_vigencia", "fin_vigencia")
     hits = _flagged(windows, redemption_days(rdm, start, whole_month), F.col("inicio_vigencia"), F.col("fin_vigencia"))
-    redeemed = {"reference": F.bool_and("hit"), "any": F.bool_or("hit")}[mode]
-    return hits.groupBy("fecha_envio", "nombre_campanha", "gmgc", "cust_id").agg(
-        F.when(redeemed, "CANJEO").otherwise("NO CANJEO").alias("flag_canje")
-    )
+    flag = lambda hit, name: F.when(hit, "CANJEO").otherwise("NO CANJEO").alias(name)
+    flags = {"reference": [flag(F.bool_and("hit"), "flag_canje")], "any": [flag(F.bool_or("hit"), "flag_canje")]}
+    flags["both"] = [*flags["reference"], flag(F.bool_or("hit"), "flag_any")]
+    return hits.groupBy("fecha_envio", "nombre_campanha", "gmgc", "cust_id").agg(*flags[mode])
 
 
 def attribute_redemptions_horizon(sends: DataFrame, rdm: DataFrame, start: dt.date, end: dt.date, days: int = 5,

@@ -24,19 +24,25 @@ def redeemer_history(first: Column, send_date: Column) -> Column:
     return F.when(first < send_date, KNOWN_REDEEMER).otherwise(NEW_REDEEMER)
 
 
-def customer_redemptions(rdm: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """First redemption ever and the daily redemptions of [start, end], one row per customer.
+def customer_redemptions(rdm: DataFrame, start: dt.date, end: dt.date, customers: DataFrame | None = None) -> DataFrame:
+    """First redemption ever and the daily redemptions of [start, end], one row per customer (of ``customers``, if given).
 
-    Redemptions shrink to one entry per day and channel before they are gathered, so a list is bounded by the days
-    of the range times the few channels, however many redemptions a customer has.
+    Redemptions shrink to one entry per day and channel of the range before they are gathered, so a list is bounded by
+    the days of the range times the few channels, however many redemptions a customer has. All others of a customer fold
+    into one row before the shuffle; only their first date matters.
     """
-    daily = rdm.where(not_returned()).groupBy("cust_id", "redemption_date", "bu_channel_name").agg(
-        F.count("redemption_id_unico").alias("canjes"), F.sum("redemption_points_amt").alias("puntos")
-    )
-    entry = F.struct("redemption_date", "bu_channel_name", "canjes", "puntos")
     in_range = F.col("redemption_date").between(F.lit(start), F.lit(end))
+    kept = rdm.where(not_returned())
+    if customers is not None:
+        kept = kept.join(customers, "cust_id", "left_semi")
+    daily = kept.groupBy(
+        "cust_id", F.when(in_range, F.col("redemption_date")).alias("day"), F.when(in_range, F.col("bu_channel_name")).alias("bu_channel_name")
+    ).agg(
+        F.min("redemption_date").alias("first"), F.count("redemption_id_unico").alias("canjes"), F.sum("redemption_points_amt").alias("puntos")
+    )
+    entry = F.struct(F.col("day").alias("redemption_date"), "bu_channel_name", "canjes", "puntos")
     return daily.groupBy("cust_id").agg(
-        F.min("redemption_date").alias("primer_canje"), F.collect_list(F.when(in_range, entry)).alias("entries")
+        F.min("first").alias("primer_canje"), F.collect_list(F.when(F.col("day").isNotNull(), entry)).alias("entries")
     )
 
 
@@ -57,8 +63,9 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
     ranged = sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end)))
     identify = measurement_identity if dedupe else identity_rows
     rows = identify(ranged, mail, jobs, start, end, *([True] if dedupe else []))
-    redeemed = customer_redemptions(rdm, start, end).withColumnRenamed("cust_id", "rut_medicion")
-    states = states_on(snapshots, send_days(ranged), start, ranged.select(F.col("rut").alias("cust_id")).distinct())
+    asked = ranged.select(F.col("rut").alias("cust_id")).distinct()
+    redeemed = customer_redemptions(rdm, start, end, asked).withColumnRenamed("cust_id", "rut_medicion")
+    states = states_on(snapshots, send_days(ranged), start, asked)
 
     looked_up = {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"}
     joined = state_at(rows.join(redeemed, "rut_medicion", "left"), states, looked_up, "rut_medicion")

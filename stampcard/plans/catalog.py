@@ -287,10 +287,7 @@ def _(m):
 
 @query("d8_flag_modes", "D8 C4")
 def _(m):
-    strict = attribution.attribute_redemptions(m.sends(), m.redemptions(), START, END)
-    loose = attribution.attribute_redemptions(m.sends(), m.redemptions(), START, END, mode="any")
-    keys = ["fecha_envio", "nombre_campanha", "gmgc", "cust_id"]
-    return strict.join(loose.withColumnRenamed("flag_canje", "flag_any"), keys)
+    return attribution.attribute_redemptions(m.sends(), m.redemptions(), START, END, mode="both")
 
 
 @query("d10_distinct_sends", "D10")
