@@ -201,9 +201,14 @@ class Fixtures:
             hit = (F.col(day) >= F.add_months(snap, -12)) | (long_tier & (F.col(day) >= F.add_months(snap, -24)))
             return F.when(hit, 1).otherwise(0)
 
+        states = states.withColumn("ultima_fecha_pos_canje", F.when(F.col("cust_id") % 4 != 0, F.col("ultima_compra")))
+        by_channel = lambda of, rest: F.when(F.col("cust_id") % of == rest, recent("ultima_compra")).otherwise(0)
         return states.select(
             "partition_date", "cust_id", "loy_categoria",
+            F.when(F.col("cust_id") % 3 == 0, "OMP").otherwise("BANCO").alias("tipo_cliente"),
             recent("ultima_compra").alias("flag_acumulador"),
+            by_channel(6, 1).alias("flag_acumulador_dig_3p"), by_channel(10, 3).alias("flag_acumulador_ikea"),
+            recent("ultima_fecha_pos_canje").alias("flag_pos_canje_12_24m"),
             recent("ultimo_canje").alias("flag_canjeador_12_24m"),
-            "ultima_compra", "ultimo_canje",
+            "ultima_compra", "ultima_fecha_pos_canje", "ultimo_canje",
         )

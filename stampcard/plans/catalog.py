@@ -168,8 +168,9 @@ def _(m):
 @query("b8_drop_and_append", "B8 B9")
 def _(m):
     base = lifecycle.lifecycle_base(m.snapshots(), START)
-    kept = base.drop("loy_categoria", "loy_categoria_cierre").columns
-    return base.select(*kept, F.upper("loy_categoria").alias("loy_categoria"))
+    again = ["loy_categoria", "flag_acumulador_dig_3p", "flag_acumulador_ikea"]
+    kept = base.drop(*again, "loy_categoria_cierre").columns
+    return base.select(*kept, F.upper("loy_categoria").alias("loy_categoria"), *again[1:])
 
 
 @query("b10_purchase_filter", "B10")
