@@ -43,12 +43,12 @@ class _Places(dict):
 class ChunkCache:
     """Ids of chunks in one flat array. ``encode`` gives the id lists of many chunks.
 
-    Beyond ``most`` chunks new ones are kept for one call only, so the frequent ones, which come early, stay. If they stop being
-    frequent, so that half of the words of a call are new, the cache starts anew.
+    The first ``most`` chunks stay, as the frequent ones come early; up to ``recent`` later ones are kept until that many have come.
+    If the first ones stop being frequent, so that half of the words of a call are new, the cache starts anew.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 250_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000, recent: int = 200_000):
+        self.encode, self.most, self.recent = encode, most, recent
         self.clear()
 
     def clear(self) -> None:
@@ -56,7 +56,8 @@ class ChunkCache:
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        self.used = self.base = 0
+        self.later: list = []
 
     def _add(self, first: int) -> None:
         """Encode what waits; its places begin at ``first``."""
@@ -80,7 +81,7 @@ class ChunkCache:
             words[0] = (words[0],)
             sizes[k] = len(words)
             keys += words
-        first, used = len(self.places), self.used
+        first = len(self.places)
         at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
         if self.places.new:
             self._add(first)
@@ -89,12 +90,15 @@ class ChunkCache:
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - counts), counts)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        if first >= self.most:
-            if 2 * len(self.places.new) > len(keys):
-                self.clear()
-            else:
-                for key in self.places.new:
+        if first >= self.most and 2 * len(self.places.new) > len(keys):
+            self.clear()
+        elif first >= self.most:
+            self.later += self.places.new
+            if len(self.later) > self.recent:
+                for key in self.later:
                     del self.places[key]
-                self.used = used
+                self.later, self.used = [], self.base
+        else:
+            self.base = self.used
         self.places.new = []
         return flat, np.diff(bounds)

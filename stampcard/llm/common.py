@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many bytes, so that a task's memory does not follow the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def hashed_share(key: str, most: int, total: int) -> Column:
+    """True for about ``most`` of ``total`` rows, chosen by a hash of the key: the same rows each time, without a sort."""
+    space = 1 << 30
+    return F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(space)) < F.lit(space if total <= most else space * most // total)
+
+
 def worker_state(key: tuple, build: Callable[[], object]) -> object:
     """``build()`` once in each Python worker, however many tasks it runs."""
     kept = sys.modules.setdefault("_stampcard_worker_state", types.ModuleType("_stampcard_worker_state")).__dict__

@@ -35,7 +35,7 @@ def test_both_trees_give_the_same_ids():
 
 def test_small_cache_is_refilled():
     encoder = bpe.Encoder(RANKS, P.PATTERN)
-    encoder.cache.most = 10
+    encoder.cache.most, encoder.cache.recent = 10, 4
     for text in ("one two three four", "five six seven eight nine ten eleven", "one two twelve", "one two three four five a b", "one twelve two", "c d e f g", "one"):
         assert encoder.cache.ids([text, ""])[0].tolist() == LIBRARY.encode_ordinary(text)
 
