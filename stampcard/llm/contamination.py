@@ -16,6 +16,7 @@ that repeat both id and text are one document and get the same result; other col
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,17 @@ RUN = 13
 NUMBER_WORDS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice".split())
 UNITS = set("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw kwh v degrees celsius fahrenheit percent".split())
 
-LITERAL, NUMBER, UNIT, NAME = 1, 2, 3, 4
+LITERAL, NUMBER, UNIT, NAME, GLUED = 1, 2, 3, 4, 5
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _GLUED = re.compile(r"(\d)([A-Za-z])")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-_MARKS = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MARKS = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], np.uint64)
 
 
 def core(word: str) -> str:
-    return _EDGES.sub("", word)
+    """The word without punctuation at its edges; most words need no pattern for that."""
+    inner = word.strip(string.punctuation)
+    return inner if inner.isalpha() else _EDGES.sub("", word)
 
 
 class Words(dict):
@@ -55,9 +58,12 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         inner = core(word)
         low = inner.lower()
-        if not inner:
+        plain = inner.isalpha()
+        if not plain and _GLUED.search(word):
+            kind = GLUED  # to be cut before use
+        elif not inner:
             kind = 0
-        elif _NUMBER.fullmatch(inner) or low in NUMBER_WORDS:
+        elif low in NUMBER_WORDS or not plain and _NUMBER.fullmatch(inner):
             kind = NUMBER
         else:
             kind = UNIT if low in UNITS else LITERAL
@@ -86,23 +92,59 @@ class Tokens:
         self.kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
         self.capital, self.code = capitals[places[self.word]], codes[places[self.word]]
 
-    def windows(self, window: int = WINDOW, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows, folded and with names as slots; 0 where there are too few words, or no name in the second."""
-        n = max(0, len(self.kind) - window + 1)
-        out = []
-        for kind in (self.kind, np.where(self.capital, NAME, self.kind)):
-            code = np.where(kind == LITERAL, self.code, _MARKS[kind])
-            hashes, words, multiplier = np.zeros(n, np.uint64), np.zeros(n, np.int64), 0x9E3779B185EBCA87
-            for k in range(window):
-                hashes += code[k : k + n] * np.uint64(pow(multiplier, k + 1, 1 << 64))
-                words += kind[k : k + n] == LITERAL
-            out.append(np.where(words >= literals, hashes, np.uint64(0)))
-        out[1][out[1] == out[0]] = 0
-        return out[0].view(np.int64), out[1].view(np.int64)
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        return hash_windows(self.kind, self.capital, self.code, np.zeros(len(self.kind), np.int64))
+
+
+def hash_windows(kind: np.ndarray, capital: np.ndarray, code: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that lie in one text, folded and with names as slots; 0 where there are too few words, or no name in
+    the second. ``text`` numbers the text of each token."""
+    n = max(0, len(kind) - WINDOW + 1)
+    out = []
+    for form in (kind, np.where(capital, NAME, kind)):
+        value = np.where(form == LITERAL, code, _MARKS[form])
+        word = (form == LITERAL).astype(np.int8)
+        hashes, words, multiplier = np.zeros(n, np.uint64), np.zeros(n, np.int8), 0x9E3779B185EBCA87
+        for k in range(WINDOW):
+            hashes += value[k : k + n] * np.uint64(pow(multiplier, k + 1, 1 << 64))
+            words += word[k : k + n]
+        hashes[words < LITERALS] = 0
+        out.append(hashes.view(np.int64))
+    out[1][out[1] == out[0]] = 0
+    whole = text[:n] == text[len(text) - n :] if n else np.zeros(0, bool)
+    return out[0][whole], out[1][whole]
+
+
+def windows_of(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its folded windows, then those with names as slots, all in one array; and how many windows each text has."""
+    words = [t.split() for t in texts]
+    places = np.fromiter((p for w in words for p in map(known.__getitem__, w)), np.int64)
+    kinds, capitals, codes = known.arrays()
+    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
+    glued = np.unique(text[kinds[places] == GLUED])
+    if len(glued):
+        cut = list(texts)
+        for k in glued:
+            cut[k] = " ".join(raw_words(texts[k]))
+        return windows_of(cut, known)
+    kind = kinds[places]
+    used = np.flatnonzero(kind)
+    kind, text, places = kind[used], text[used], places[used]
+    first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
+    after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(kind)] & ~first
+    kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
+    folded, named = hash_windows(kind, capitals[places], codes[places], text)
+    sizes = np.maximum(np.bincount(text, minlength=len(texts)) - WINDOW + 1, 0)
+    start = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(folded)) + start[of]
+    flat = np.zeros(2 * len(folded), np.int64)
+    flat[at], flat[at + sizes[of]] = folded, named
+    return flat, sizes
 
 
 def tokens_of(texts: list[str], known: Words) -> list[Tokens]:
-    places = [np.fromiter(map(known.__getitem__, raw_words(t)), np.int64) for t in texts]
+    places = [np.fromiter(map(known.__getitem__, raw_words(t)), np.int64) for t in texts]  # raw words are never glued
     arrays = known.arrays()
     return [Tokens(p, *arrays) for p in places]
 
@@ -117,9 +159,7 @@ def window_table(df: DataFrame, key: str, text_col: str) -> DataFrame:
         for part, texts in slices(batches, "body"):
             if len(known) > 300_000:
                 known = Words()
-            both = [t.windows() for t in tokens_of(texts, known)]
-            flat = np.concatenate([x for pair in both for x in pair]) if both else np.zeros(0, np.int64)
-            sizes = np.fromiter((len(a) for a, _ in both), np.int64, len(both))
+            flat, sizes = windows_of(texts, known)
             yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes, pa.int32()), list_array(flat, 2 * sizes, pa.int64())], names=schema.names)
 
     made = picked.where("body IS NOT NULL AND body <> ''").mapInArrow(run, schema)
