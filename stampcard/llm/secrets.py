@@ -16,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stampcard.llm.common import hashed_share
+
 #: Base kinds in order (fixed values of the contract): name, pattern, group measured, least characters.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -28,7 +30,7 @@ RUN = "[A-Za-z0-9+/_=-]{20,}"
 PRIOR = math.log(10_000)
 #: Part of each transition's probability that is spread evenly.
 UNIFORM = 0.1
-#: Documents that the query labels for training: those with the smallest hash of their id.
+#: Documents that the query labels for training, about so many, chosen by a hash of their id.
 TRAIN_DOCS = 2000
 
 _MARK, _OTHER = "\x01", "\x02"
@@ -109,14 +111,14 @@ def find_secrets(df: DataFrame, model: list[float], text_col: str = "text") -> D
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_DOCS) -> DataFrame:
-    """``text, random`` from the ``most`` documents with the smallest hash of their id: values that base kinds name, and digests of
+    """``text, random`` from about ``most`` documents chosen by a hash of their id: values that base kinds name, and digests of
     those ids in hexadecimal and base 64, are random; words of letters, digits and joiners outside base spans are ordinary."""
-    hashed = docs.select(F.xxhash64(id_col).alias("h"), id_col).orderBy("h", id_col).limit(most).select(F.col(id_col).alias("i")).distinct()
-    chosen = docs.select(F.col(id_col).alias("i"), plain_text(text_col).alias("t")).join(hashed, "i").select("i", "t", base_spans(F.col("t")).alias("b"))
+    picked = docs.where(hashed_share(id_col, most, docs.count()))
+    chosen = picked.select(F.col(id_col).alias("i"), plain_text(text_col).alias("t")).select("i", "t", base_spans(F.col("t")).alias("b"))
     named = chosen.select("t", F.explode("b").alias("s")).select(F.substring("t", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("m"))
     value = named.select(F.regexp_extract("m", "([A-Za-z0-9+/_=-]+)$", 1).alias("text"), F.lit(True).alias("random"))
     digest = F.sha2(F.col("i").cast("string"), 256)
-    made = hashed.select(F.explode(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)))).alias("text"), F.lit(True).alias("random"))
+    made = picked.select(F.col(id_col).alias("i")).select(F.explode(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)))).alias("text"), F.lit(True).alias("random"))
     marked = F.regexp_replace("t", "|".join(p for _, p, _, _ in (KINDS[0], KINDS[1])) + "|[0-9a-f]{24,}", " ")
     words = chosen.select(F.explode(F.regexp_extract_all(marked, F.lit("[A-Za-z0-9_-]{4,}"), F.lit(0))).alias("text"), F.lit(False).alias("random"))
     return value.union(made).union(words)

@@ -6,7 +6,7 @@ one node from the start, so groups of copies never meet pair by pair.
 Links are found by vantage-point trees over Hamming distance. At a distance d over some of the bits no more than at all 64, a pair
 within the radius is within ``radius // TREES`` in one of ``TREES`` disjoint blocks of bits: each block has its own tree with that
 smaller radius, where the triangle bound prunes far more than over the whole word. The upper part of a tree is built on the driver
-from a bounded sample of fingerprints (``SAMPLE`` rows); its leaves are shards. Every fingerprint has one home shard and visits
+from a bounded sample of fingerprints (about ``SAMPLE`` rows); its leaves are shards. Every fingerprint has one home shard and visits
 the later shards that its ball overlaps. A shard grows its own tree, prunes by the triangle bound, compares whole words exactly,
 and returns a spanning forest of its links rather than all pairs. Which sample was drawn decides the balance, never the result.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stampcard.llm.common import add_columns, key_runs, row_key
+from stampcard.llm.common import add_columns, hashed_share, key_runs, row_key
 from stampcard.llm.components import components, forest
 from stampcard.session import materialize
 
@@ -176,7 +176,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, trees: int = TREES) -> DataFra
     """``a, b``: links between distinct fingerprints ``fp``, whose components are those of all pairs within ``radius`` bits."""
     total = nodes.count()
     shards = int(min(MOST_SHARDS, max(1, -(-total // SHARD_ROWS))))
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in nodes.where(hashed_share("fp", SAMPLE, total)).select("fp").collect()], np.int64).view(np.uint64)
     masks, near = [np.uint64(m) for m in block_masks(trees)], radius // trees
     upper = [grow(sample & m, shards) for m in masks]
     routed = T.StructType([T.StructField("shard", T.LongType()), T.StructField("home", T.BooleanType()), T.StructField("fp", T.LongType())])
