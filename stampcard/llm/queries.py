@@ -89,7 +89,7 @@ def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True)
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces=True, exact_words=1)
 
 
 def _quoted(text: str) -> str:
