@@ -1,0 +1,49 @@
+"""The pipeline against plain stages without a hash radius: all similar lines, all exact repeats, documents by Jaccard similarity."""
+
+from __future__ import annotations
+
+import numpy as np
+
+import corpus_pipeline
+from stampcard.llm import lines
+from stampcard.llm.common import table
+from tests.conftest import SF_SMALL
+from tests.llm.test_bpe import LIBRARY
+from tests.llm.test_contamination import plain_leak
+from tests.llm.test_neardup import plain_keep
+from tests.llm.test_pipeline import found, quality_keeps
+
+
+def plain_lines(rows):
+    at = {}
+    for k, (i, text) in enumerate(rows):
+        for number, words in lines.normal_lines(text or "", 1):
+            at.setdefault(tuple(words), []).append((i is None, i or 0, k, number))
+    distinct = list(at)
+    norms = [b" ".join(d) for d in distinct]
+    label = np.arange(len(distinct))
+    fuzzy = [x for x, d in enumerate(distinct) if len(d) >= 5]
+    size = np.array([len(norms[x]) for x in fuzzy])
+    letters = np.array([np.bincount(np.frombuffer(norms[x], np.uint8), minlength=256) for x in fuzzy], np.int32)
+    for x in range(len(fuzzy)):
+        more = letters[:x] - letters[x]
+        bound = np.maximum(np.where(more > 0, more, 0).sum(axis=1), np.where(more < 0, -more, 0).sum(axis=1))
+        for y in np.flatnonzero(bound <= 0.2 * np.maximum(size[:x], size[x]) + 1e-9).tolist():
+            a, b = label[fuzzy[x]], label[fuzzy[y]]
+            if a != b and lines.similar(norms[fuzzy[x]], norms[fuzzy[y]], 0.8):
+                label[label == max(a, b)] = min(a, b)
+    groups = {}
+    for x, d in enumerate(distinct):
+        groups.setdefault(int(label[x]), []).extend(at[d])
+    gone = {(k, n) for g in groups.values() for _, _, k, n in g if (k, n) != min(g)[2:]}
+    return [None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone) for k, (_, t) in enumerate(rows)]
+
+
+def test_all_documents(spark):
+    docs = sorted((r.doc_id, r.text) for r in table(spark, SF_SMALL, "documents").collect() if quality_keeps(r.text))
+    items = [r.text for r in table(spark, SF_SMALL, "benchmark").collect()]
+    lined = [(i, t) for (i, _), t in zip(docs, plain_lines(docs))]
+    kept = plain_keep(lined)
+    clean = {i: t for i, t in lined if i in kept and not any(plain_leak(t, x) for x in items)}
+    got = found(corpus_pipeline.run(spark, SF_SMALL).collect())
+    assert got == {i: LIBRARY.encode_ordinary(t or "") for i, t in clean.items()}
