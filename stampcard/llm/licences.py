@@ -1,10 +1,11 @@
 """Licences by known sentences and ordered rules.
 
-A text is cut into sentences at line ends, and after stops unless a number follows; a sentence is normalised to lower-case words and numbers. Known sentences
+A text is cut into sentences at line ends, and after stops unless a number follows; a sentence is normalised to lower-case words and numbers. A known
+sentence may go over single line ends, with comment leaders, but not over a blank line. Known sentences
 have identifiers (all lines of copyright share one). A rule is a sequence of identifiers; it fits where the known sentences of a
 text hold that sequence without another known sentence between. A rule that contains another one replaces it.
 
-Every known sentence has one of the ``TRIGGERS``, so texts without any need no cutting; that leaves out no sentence. All happens
+Every known sentence has one of the ``triggers`` of its table, so texts without any need no cutting; that leaves out no sentence. All happens
 within the row: no shuffle, no group. Null and empty texts, and texts without known sentences, have no licence. Repeated rows stay
 repeated; other columns pass through, except those named like the output's.
 """
@@ -54,8 +55,44 @@ RULES = [
     ("MPL-2.0", ["mpl-2"]), ("proprietary", ["copyright", "all-rights"]),
 ]
 
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_FREE = [
+    (f"{name}-{what}", f"This {what} is free software; " + _GNU.format(full, version))
+    for name, full, version in [
+        ("gpl-2-later", "General Public License", "2"), ("gpl-3-later", "General Public License", "3"), ("lgpl-2-later", "Library General Public License", "2"),
+        ("lgpl-2-1-later", "Lesser General Public License", "2.1"), ("lgpl-3-later", "Lesser General Public License", "3"), ("agpl-3-later", "Affero General Public License", "3"),
+    ]
+    for what in ("program", "library", "software")
+]
+_NAMES = {"gpl-2-later": "GPL-2.0", "gpl-3-later": "GPL-3.0", "lgpl-2-later": "LGPL-2.0", "lgpl-2-1-later": "LGPL-2.1", "lgpl-3-later": "LGPL-3.0", "agpl-3-later": "AGPL-3.0"}
+_TAGS = {
+    "Apache-2.0": [], "MIT": [], "ISC": ["ISC"], "0BSD": ["0BSD"], "GPL-2.0": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+"], "GPL-3.0": ["GPL-3.0", "GPL-3.0-or-later", "GPL-3.0+"],
+    "LGPL-2.1": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"], "LGPL-3.0": ["LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "AGPL-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"], "BSD-2-Clause": ["BSD-2-Clause"], "MPL-2.0": ["MPL-2.0"], "EPL-1.0": ["EPL-1.0"], "EPL-2.0": ["EPL-2.0"],
+    "Unlicense": ["Unlicense"], "CC0-1.0": ["CC0-1.0"], "CC-BY-4.0": ["CC-BY-4.0"], "CC-BY-SA-4.0": ["CC-BY-SA-4.0"], "CC-BY-NC-4.0": ["CC-BY-NC-4.0"],
+}
+#: Licence and sentence of the bodies, headers and titles of usual licences, each a rule by itself.
+_USUAL = {
+    "mit-grant": ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    "isc-grant": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "isc-grant-and": ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "0bsd-grant": ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    "apache-2-title": ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    "gpl-2-title": ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    "gpl-3-title": ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    "lgpl-2-1-title": ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    "lgpl-3-title": ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    "agpl-3-title": ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    "mpl-2-title": ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    "epl-2-title": ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    "epl-2-made": ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "epl-2-made-v": ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0."),
+    "epl-1-made": ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    **{key: (_NAMES[key.rsplit("-", 1)[0]], sentence) for key, sentence in _FREE},
+    **{f"spdx-tag-{tag.lower()}": (name, f"SPDX-License-Identifier: {tag}") for name, tags in _TAGS.items() for tag in tags},
+}
 TRIGGERS = ["licen", "copyright", "redistribut", "warranty"]
-_CUT = r"\n+|(?<=[.;!?])\s+(?=[^0-9\s])"
 
 
 def normal_sentence(sentence: str) -> str:
@@ -67,20 +104,62 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def usual_sentences() -> dict[str, str]:
+    """``SENTENCES`` and those of the usual licences; one identifier for each normal form."""
+    have = {normal_sentence(x) for x in SENTENCES.values()}
+    more: dict[str, str] = {}
+    for key, (_, sentence) in _USUAL.items():
+        if (norm := normal_sentence(sentence)) not in have:
+            have.add(norm)
+            more[key] = sentence
+    return SENTENCES | more
+
+
+def usual_rules() -> list[tuple[str, list[str]]]:
+    return [*RULES, *((_USUAL[key][0], [key]) for key in usual_sentences() if key not in SENTENCES)]
+
+
+def triggers(sentences: dict[str, str]) -> list[str]:
+    """Words of which every sentence of the table, and every line of copyright, has one."""
+    out = list(TRIGGERS)
+    for sentence in map(normal_sentence, sentences.values()):
+        if sentence and not any(t in word for t in out for word in sentence.split()):
+            out.append(max(sentence.split(), key=len))
+    return out
+
+
+_STOP = r"(?<=[.;!?])\s+(?=[^0-9\s])"
+_LEADER = r"(?m)^[ \t]*(?:<!--|//+|/\*+|\*+/?|#+|;+|--+|%+|>+|!+|(?:dnl|rem)(?=[ \t]))"
+
+
+def _pattern(norm: str, written: str) -> str:
+    return ("[ \n\x01]" if re.search(_STOP, written) else "[ \n]").join(norm.split())
+
+
 def known_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    table = SENTENCES if sentences is None else sentences
-    entries = [F.lit(x) for name, s in table.items() for x in (normal_sentence(s), name)]
-    lookup = F.create_map(*entries)
+    table = usual_sentences() if sentences is None else sentences
+    norms = {norm: (name, s) for name, s in table.items() if (norm := normal_sentence(s))}
+    lookup = F.create_map(*[F.lit(x) for norm, (name, _) in norms.items() for x in (norm, name)]) if norms else F.create_map(F.lit(""), F.lit(""))
+    # line ends stay as such, other cuts become \x01, everything else between words one space
+    low = F.lower(text)
+    marked = F.regexp_replace(F.translate(low, "\x01", " "), _LEADER, " ")
+    for pattern, to in (
+        (r"(?m)^[ \t]*\(?(?:[0-9]{1,2}|[a-z])\)[ \t]+", "\x01"), (_STOP, "\x01"), (r"\n(?:[^a-z0-9\n]*\n)+", "\x01"),
+        ("[^a-z0-9\n\x01]+", " "), (" ?([\n\x01]) ?", "$1"),
+    ):
+        marked = F.regexp_replace(marked, pattern, to)
+    longest = sorted(norms, key=len, reverse=True)
+    pattern = r"(?:^|(?<=[\n\x01]))(" + "|".join([*(_pattern(n, norms[n][1]) for n in longest), "copyright [0-9c][a-z0-9 ]*"]) + r")(?=[\n\x01]|\z)"
     name = lambda s: F.when(s.rlike("^copyright [0-9c]"), F.lit(COPYRIGHT)).otherwise(F.try_element_at(lookup, s))
-    found = F.transform(F.split(text, _CUT), lambda s: name(normal(s)))
-    return F.when(text.rlike("(?i)" + "|".join(TRIGGERS)), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    found = F.transform(F.regexp_extract_all(F.trim(marked), F.lit(pattern), F.lit(1)), lambda s: name(F.translate(s, "\n\x01", "  ")))
+    return F.when(low.rlike("|".join(triggers(table))), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def recognise(df: DataFrame, text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """``df`` with ``sentence_ids`` (known sentences in order) and ``licences`` (sorted, without repeats)."""
     kept = [c for c in df.columns if c == text_col or c.lower() not in ("sentence_ids", "licences")]
-    listed = [(name, "|" + "|".join(ids) + "|") for name, ids in (RULES if rules is None else rules)]
+    listed = [(name, "|" + "|".join(ids) + "|") for name, ids in (usual_rules() if rules is None else rules)]
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("ids")) for n, s in listed])
     ids = df.select(*[F.col(f"`{c}`") for c in kept], known_ids(F.coalesce(F.col(text_col), F.lit("")), sentences).alias("sentence_ids"))
     line = F.concat(F.lit("|"), F.array_join("sentence_ids", "|"), F.lit("|"))

@@ -49,3 +49,27 @@ def test_sequences(docs, odd_rows):
     by = {r.doc_id: r.licences for r in found}
     assert [by[100 + k] for k in range(6)] == [["BSD-2-Clause"], ["BSD-3-Clause"], [], ["GPL-3.0", "MIT"], ["proprietary"], []]
     assert licences.recognise(docs([])).count() == 0
+
+
+def test_wrapped_sentences_and_usual_licences(docs):
+    import textwrap
+
+    s = licences.usual_sentences()
+    wrap = lambda *names, lead="": "\n".join(textwrap.fill(s[n], 60, initial_indent=lead, subsequent_indent=lead) for n in names)
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + wrap("bsd-head") + "\n\n1. " + wrap("bsd-source") + "\n\n2. " + wrap("bsd-binary")
+    texts = [
+        (bsd, ["BSD-2-Clause"]), (bsd + "\n\n3. " + wrap("bsd-name"), ["BSD-3-Clause"]), (wrap("mpl-2", lead=" * "), ["MPL-2.0"]), (wrap("mit-grant"), ["MIT"]),
+        (wrap("mit-grant", lead="# "), ["MIT"]), (wrap("isc-grant", lead="// "), ["ISC"]), (wrap("gpl-2-later-program", lead=";; "), ["GPL-2.0"]),
+        (wrap("gpl-3-later-program").replace("software;", "software:").replace("Foundation;", "Foundation,"), ["GPL-3.0"]), (wrap("lgpl-2-1-later-library"), ["LGPL-2.1"]), (wrap("agpl-3-later-program"), ["AGPL-3.0"]),
+        (wrap("epl-2-made"), ["EPL-2.0"]), (wrap("unlicense"), ["Unlicense"]), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n", ["GPL-3.0"]),
+        ("Licensed under the\n\nMIT License.", []),
+    ]
+    found = {r.doc_id: r.licences for r in licences.recognise(docs([(k, t) for k, (t, _) in enumerate(texts)])).collect()}
+    assert found == {k: names for k, (_, names) in enumerate(texts)}
+    rows = [(k, x) for k, x in enumerate(s.values())]
+    assert {r.doc_id: r.sentence_ids for r in licences.recognise(docs(rows)).collect()} == {k: [n] for k, n in enumerate(s)}
+
+
+def test_own_sentences_need_no_trigger(docs):
+    got = licences.recognise(docs([(1, "Take it, it is\nyours.")]), sentences={"own": "Take it, it is yours."}, rules=[("Own", ["own"])]).first()
+    assert got.sentence_ids == ["own"] and got.licences == ["Own"]
