@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, urls
+from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, structure, urls
 from stampcard.llm.common import table
 from stampcard.session import scratch_path
 
@@ -203,3 +203,9 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+
+
+@query("op13_structure_repair")
+def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = structure.damage(table(spark, sf_dir, "conversations"))
+    return structure.audit_conversations(damaged, F.col("gone"))
