@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, structure, urls
+from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, structure, trie, urls
 from stampcard.llm.common import table
 from stampcard.session import scratch_path
 
@@ -209,3 +209,49 @@ def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = structure.damage(table(spark, sf_dir, "conversations"))
     return structure.audit_conversations(damaged, F.col("gone"))
+
+
+_TRIE_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY n) AS t
+  FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(n))
+),
+told AS (
+  SELECT conv_id, list({{'role': coalesce(role, ''), 'body': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+picked AS (
+  SELECT conv_id, turns, CAST(xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS INT) AS h
+  FROM told, crc_table
+),
+built AS (
+  SELECT p.conv_id, list_concat(coalesce(b.turns, [])[1:h], p.turns[h + 1:]) AS turns FROM picked p LEFT JOIN told b ON b.conv_id = p.conv_id - p.conv_id % 20
+),
+prefixes AS (
+  SELECT conv_id, turns[1:d] AS prefix, d AS depth, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)
+),
+nodes AS (
+  SELECT prefix, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+  FROM prefixes GROUP BY prefix
+),
+kids AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+sized AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children,
+         CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.prefix[depth].body, '{word}')) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN kids k ON k.prefix = n.prefix
+),
+above AS (
+  SELECT prefix[1:k] AS prefix, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT prefix, saved, n_children, unnest(range(0, depth + 1)) AS k FROM sized) GROUP BY 1
+)
+SELECT s.conv_id, CAST(s.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens,
+       sha256(s.ended) AS ends_sha256
+FROM sized s JOIN above a ON a.prefix = s.prefix LEFT JOIN nodes p ON s.depth > 0 AND p.depth = s.depth - 1 AND p.prefix = s.prefix[1:s.depth - 1]
+""".format(word=trie.WORD)
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
