@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACES = re.compile(r" (?=\s|\Z)")
+#: The same for Arrow, whose white space is ASCII only.
+_ARROW_SPACES = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 
 
 def split_words(text: str) -> list[str]:
@@ -28,6 +33,15 @@ def split_words(text: str) -> list[str]:
     return out
 
 
+def split_texts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, as ``split_words`` cuts them, and how many each text has (one at least)."""
+    if pc.any(pc.match_substring_regex(column, _ARROW_SPACES)).as_py():
+        lists = [split_words(t) for t in column.to_pylist()]
+        return pa.array([w for words in lists for w in words], pa.string()), np.fromiter(map(len, lists), np.int64, len(lists))
+    lists = pc.split_pattern(column, " ")
+    return lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
+
+
 class _Places(dict):
     """Place of each chunk; one not yet known gets the next place and waits in ``new``. Tuples are chunks that begin a text."""
 
@@ -70,19 +84,29 @@ class ChunkCache:
             self.flat = np.concatenate([self.flat, self.flat])
         self.counts[first:last] = counts
         self.starts[first:last] = self.used + np.cumsum(counts) - counts
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in lists for i in ids), np.int32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
         self.used += total
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each text has."""
-        keys, sizes = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = split_words(text)
-            words[0] = (words[0],)
-            sizes[k] = len(words)
-            keys += words
+    def _at(self, words: pa.Array, first: bool) -> np.ndarray:
+        """Places of the words: each different one is looked up once."""
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        places = np.fromiter(map(self.places.__getitem__, zip(known) if first else known), np.int64, len(known))
+        return places[np.asarray(coded.indices)]
+
+    def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null as empty) one after the other, and how many each text has."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        keys, sizes = split_texts(column.fill_null(""))
         first = len(self.places)
-        at = np.fromiter(map(self.places.__getitem__, keys), np.int64, len(keys))
+        begins = np.cumsum(sizes) - sizes
+        later = np.ones(len(keys), bool)
+        later[begins] = False
+        at = np.zeros(len(keys), np.int64)
+        at[begins] = self._at(keys.take(pa.array(begins)), True)
+        at[later] = self._at(keys.filter(pa.array(later)), False)
         if self.places.new:
             self._add(first)
         counts = self.counts[at]

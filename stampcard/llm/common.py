@@ -39,18 +39,23 @@ def worker_state(key: tuple, build: Callable[[], object]) -> object:
     return kept[key]
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with the texts as strings (null as empty); a row is never cut."""
+def text_slices(batches: Iterable[pa.RecordBatch], text_col: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text; a row is never cut."""
     for batch in batches:
         column = batch.column(text_col)
         sizes = np.zeros(batch.num_rows, np.int64)
         if batch.num_rows:
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
-        group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        group = (np.cumsum(sizes) - sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            yield part, [t or "" for t in part.column(text_col).to_pylist()]
+            yield batch.slice(a, b - a)
+
+
+def slices(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with the texts as strings (null as empty)."""
+    for part in text_slices(batches, text_col):
+        yield part, [t or "" for t in part.column(text_col).to_pylist()]
 
 
 def add_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[list[str]], list[pa.Array]]) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, chat, contamination, licences, lines, quality, records, secrets, simhash, structure, trie, urls
+from stampcard.llm import bpe, chat, contamination, licences, lines, packing, quality, records, secrets, simhash, structure, trie, urls
 from stampcard.llm.common import table
 from stampcard.session import scratch_path
 
@@ -255,3 +255,9 @@ FROM sized s JOIN above a ON a.prefix = s.prefix LEFT JOIN nodes p ON s.depth >
 @query("op11_prefix_trie", _TRIE_SQL)
 def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_vector_packing")
+def vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, packed=True)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")

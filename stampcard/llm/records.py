@@ -15,6 +15,7 @@ Files are opened through ``pyarrow.fs``, so the folder may be in any store that
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stampcard.llm.chunks import ChunkCache
-from stampcard.llm.common import key_runs, list_array, slices, worker_state
+from stampcard.llm.common import key_runs, list_array, text_slices, worker_state
 
 _MASK = 0xA282EAD8
+#: Texts encoded at once: the more, the fewer lookups for repeated words.
+_SLICE_BYTES = 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -59,11 +62,15 @@ def shard_name(folder: str, shard: int) -> str:
 
 
 class LibraryEncoder:
-    """Ids by a file of the tokenizers library; special strings inside texts are ordinary text."""
+    """Ids by a file of the tokenizers library; special strings inside texts are ordinary text.
+
+    A task has a core of its own, so the library's threads, which cost more than they give on single words, stay off.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache = ChunkCache(lambda chunks: [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
@@ -96,8 +103,8 @@ def write_records(
         files.create_dir(root, recursive=True)
         own, offset, before = f"{root}/.writing-{shard}-{task.taskAttemptId()}", 0, 0
         with files.open_output_stream(own) as out:
-            for part, texts in slices(batches, text_col):
-                flat, counts = encoder.cache.ids(texts)
+            for part in text_slices(batches, text_col, _SLICE_BYTES):
+                flat, counts = encoder.cache.ids(part.column(text_col))
                 flat = flat.astype(f"<u{width}")
                 ends = np.cumsum(counts).tolist()
                 close = np.array([end_id], f"<u{width}").tobytes()
@@ -105,8 +112,8 @@ def write_records(
                 out.write(b"".join(records))
                 sizes, tokens = np.fromiter(map(len, records), np.int64, len(records)), counts + 1
                 yield pa.RecordBatch.from_arrays([
-                    part.column(id_col), pa.array(np.full(len(texts), shard)), pa.array(offset + np.cumsum(sizes) - sizes), pa.array(tokens),
-                    pa.array(before + np.cumsum(tokens) - tokens), pa.array(np.full(len(texts), width, np.int32)),
+                    part.column(id_col), pa.array(np.full(part.num_rows, shard)), pa.array(offset + np.cumsum(sizes) - sizes), pa.array(tokens),
+                    pa.array(before + np.cumsum(tokens) - tokens), pa.array(np.full(part.num_rows, width, np.int32)),
                 ], names=found.names)
                 offset, before = offset + int(sizes.sum()), before + int(tokens.sum())
         files.move(own, shard_name(root, shard))
