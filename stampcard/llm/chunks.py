@@ -1,12 +1,14 @@
-"""Texts as sequences of space-led chunks, and a bounded cache from chunk to token ids.
+"""Texts as sequences of chunks, and a bounded cache from chunk to token ids.
 
-A space that a non-space follows always begins a new match of the byte-level split pattern, whatever stands before it. So a text
-may be cut there, each chunk may be encoded alone, and the ids joined again. Words repeat, so most chunks come from the cache.
+Some places always begin a new match of the byte-level split pattern, whatever stands around them: a space that a non-space follows, a
+single line end and the character behind it, and one of ``.,;:!?`` behind a Latin letter. So a text may be cut there, each chunk may be
+encoded alone, and the ids joined again. Words repeat, so most chunks come from the cache.
+
+A chunk that begins with a space is written without it; any other one has ``GLUED`` in front.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -14,19 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACES = re.compile(r" (?=\s|\Z)")
-#: The same for Arrow, whose white space is ASCII only.
-_ARROW_SPACES = r" ([\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+GLUED = "\x01"
+#: White space as in the patterns of tokenizers (Arrow's own is ASCII only), and texts that Arrow can't cut: several white spaces in a row, a space at the end, or the mark.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf" ({_SPACE}|\z)|\n{_SPACE}|{_SPACE}\n|\x01"
+_ENDS = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?])"
 
 
 def split_words(text: str) -> list[str]:
-    """Cut at every space that a non-space character follows; the words joined by a space give the text back."""
+    """Chunks of any text, cut at spaces only: those that a non-space follows."""
     words = text.split(" ")
-    if not _SPACES.search(text):
-        return words
-    out = words[:1]
+    out = [GLUED + words[0]]
     for word in words[1:]:
-        if word and not word[0].isspace():
+        if word and not word[0].isspace() and word[0] != GLUED:
             out.append(word)
         else:
             out[-1] += " " + word
@@ -34,16 +36,18 @@ def split_words(text: str) -> list[str]:
 
 
 def split_texts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts one after the other, as ``split_words`` cuts them, and how many each text has (one at least)."""
-    if pc.any(pc.match_substring_regex(column, _ARROW_SPACES)).as_py():
+    """The chunks of all texts one after the other, and how many each text has (one at least)."""
+    if pc.any(pc.match_substring_regex(column, _ODD)).as_py():
         lists = [split_words(t) for t in column.to_pylist()]
         return pa.array([w for words in lists for w in words], pa.string()), np.fromiter(map(len, lists), np.int64, len(lists))
-    lists = pc.split_pattern(column, " ")
+    marked = pc.replace_substring_regex(column, _ENDS, rf"\1 {GLUED}\2")
+    marked = pc.binary_join_element_wise(GLUED, pc.replace_substring(marked, "\n", f" {GLUED}\n {GLUED}"), "")
+    lists = pc.split_pattern(marked, " ")
     return lists.flatten(), np.asarray(pc.list_value_length(lists)).astype(np.int64)
 
 
 class _Places(dict):
-    """Place of each chunk; one not yet known gets the next place and waits in ``new``. Tuples are chunks that begin a text."""
+    """Place of each chunk; one not yet known gets the next place and waits in ``new``."""
 
     def __init__(self):
         self.new: list = []
@@ -75,7 +79,7 @@ class ChunkCache:
 
     def _add(self, first: int) -> None:
         """Encode what waits; its places begin at ``first``."""
-        lists = self.encode([k[0] if isinstance(k, tuple) else " " + k for k in self.places.new])
+        lists = self.encode([k[1:] if k[:1] == GLUED else " " + k for k in self.places.new])
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         last, total = first + len(lists), int(counts.sum())
         while len(self.starts) < last:
@@ -87,13 +91,6 @@ class ChunkCache:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
         self.used += total
 
-    def _at(self, words: pa.Array, first: bool) -> np.ndarray:
-        """Places of the words: each different one is looked up once."""
-        coded = words.dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        places = np.fromiter(map(self.places.__getitem__, zip(known) if first else known), np.int64, len(known))
-        return places[np.asarray(coded.indices)]
-
     def ids(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null as empty) one after the other, and how many each text has."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -101,12 +98,9 @@ class ChunkCache:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         keys, sizes = split_texts(column.fill_null(""))
         first = len(self.places)
-        begins = np.cumsum(sizes) - sizes
-        later = np.ones(len(keys), bool)
-        later[begins] = False
-        at = np.zeros(len(keys), np.int64)
-        at[begins] = self._at(keys.take(pa.array(begins)), True)
-        at[later] = self._at(keys.filter(pa.array(later)), False)
+        coded = keys.dictionary_encode()
+        known = coded.dictionary.to_pylist()  # each different chunk is looked up once
+        at = np.fromiter(map(self.places.__getitem__, known), np.int64, len(known))[np.asarray(coded.indices)]
         if self.places.new:
             self._add(first)
         counts = self.counts[at]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe
-from stampcard.llm.chunks import split_words
+from stampcard.llm import bpe, records
+from stampcard.llm.chunks import GLUED, split_texts, split_words
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
@@ -24,7 +25,24 @@ def test_random_strings_as_the_library():
     for text, n in zip(texts, counts):
         assert flat[at : at + n].tolist() == LIBRARY.encode_ordinary(text)
         at += n
-        assert " ".join(split_words(text)) == text
+        assert " ".join(split_words(text)) == GLUED + text
+
+
+def test_cuts_of_single_texts_change_no_ids():
+    """One text a call, so that those without odd white space are cut by Arrow; three tokenizers."""
+    encoder, rng = bpe.Encoder(RANKS, P.PATTERN), random.Random(4)
+    texts = ["".join(rng.choice(["ab", "The", " ", " ", "ñé", "漢", "🙂", "\n", "12", ".", ",", "!'", "'s", "?)", "µ", "\xaa", "ß", "Ǆ"]) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    texts += ["a\nb.\nc d.'s e", "a \x01b\x01 \x01.", "\n", "a\n", "\na", "", "x.\r\ny", "end.\n\nNext"]
+    cut = 0
+    for text in texts:
+        chunks, counts = split_texts(pa.array([text]))
+        cut += len(chunks) > 1 and "".join(c[1:] if c[:1] == GLUED else " " + c for c in chunks.to_pylist()) == text
+        assert encoder.cache.ids([text])[0].tolist() == LIBRARY.encode_ordinary(text)
+    assert cut > 500
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = records.LibraryEncoder(P.path(name))
+        for text in texts:
+            assert library.cache.ids([text])[0].tolist() == library.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_both_trees_give_the_same_ids():
