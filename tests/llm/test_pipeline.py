@@ -11,7 +11,7 @@ from stampcard.llm.common import table
 from tests.conftest import SF_SMALL
 from tests.llm.test_bpe import LIBRARY
 from tests.llm.test_contamination import ITEM, plain_leak
-from tests.llm.test_lines import plain_dedup
+from tests.llm.test_lines import meets, plain_lines
 from tests.llm.test_simhash import plain_groups, plain_print
 
 
@@ -19,7 +19,7 @@ def plain_run(docs, items):
     """Rows (id, text) through all stages; ids are unique or null here."""
     good = [(i, t) for i, t in docs if quality_keeps(t)]
     good.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    lined = [(i, t) for (i, _), t in zip(good, plain_dedup(good))]
+    lined = [(i, t) for (i, _), t in zip(good, plain_lines(good, lambda a, b: any(meets(a, b))))]
     label = plain_groups([plain_print(t) for _, t in lined])
     one = [r for k, r in enumerate(lined) if label[k] == k]
     clean = [(i, t) for i, t in one if not any(plain_leak(t, x) for x in items)]
