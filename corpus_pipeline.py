@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stampcard.llm import bpe, contamination, lines, neardup, quality
+from stampcard.llm import bpe, contamination, lines, quality, simhash
 from stampcard.llm.common import table
 from stampcard.session import materialize
 
@@ -25,14 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier document has; ``n_chars`` follows a changed text. A text may become empty."""
-    done = lines.dedup_lines(docs, pieces=True, exact_words=1)
+    done = lines.dedup_lines(docs)
     chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (Jaccard similarity of 5-word runs 0.8 or more): the smallest id, a null id only if there is no other."""
-    return neardup.keep_one(docs)
+    """One document of each group of fingerprints within 4 bits (shingles of 4 words): the smallest id, a null id only if there is no other."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
