@@ -109,7 +109,7 @@ FROM attr_scored WHERE NOMBRE_CAMPANHA = 'Camp Nro 3_05032000'""",
     "a8_individual_dataset": """
 SELECT NOMBRE_CAMPANHA, GMGC, count(*) AS n, count(*) FILTER (FLAG_CANJE = 'CANJEO') AS redeemers,
   round(avg(CAST(CAST(propensity_score AS FLOAT) AS DOUBLE)), 4) AS mean_score FROM attr_scored GROUP BY 1, 2""",
-    "a9_metrics_backfill": "SELECT * FROM metrics",
+    "a9_metrics_backfill": "SELECT * FROM metrics WHERE FECHA_ENVIO < (SELECT max(FECHA_ENVIO) FROM metrics)",
     "a10_csv_export": "SELECT * FROM metrics WHERE FECHA_ENVIO = DATE '2000-04-05' AND NOMBRE_CAMPANHA = 'Camp Nro 4_05042000'",
     "a11_normalize_types": """
 SELECT o_orderkey AS tran_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS tran_date,
@@ -348,6 +348,9 @@ SELECT strftime(send_date, '%Y-%m') AS month, count(campaign) AS campaigns, roun
 SELECT canjeo_5d, CAST(CASE WHEN canjeo_5d THEN n ELSE least(n, 5 * pos) END AS BIGINT) AS n FROM (
   SELECT canjeo_5d, count(*) AS n FROM outcome GROUP BY 1)
 CROSS JOIN (SELECT count(*) FILTER (canjeo_5d) AS pos FROM outcome)""",
+    "e10_union_of_samples": """
+SELECT CAST(pos + least(neg, 5 * pos) AS BIGINT) AS n, pos AS positives, CAST(pos + least(neg, 5 * pos) AS BIGINT) AS sends
+FROM (SELECT count(*) FILTER (canjeo_5d) AS pos, count(*) FILTER (NOT canjeo_5d) AS neg FROM outcome)""",
     "i2_campaign_context": """
 SELECT nombre_campanha, cust_id, CAST(month(fecha_envio) AS INT) AS mes_envio, CAST(isodow(fecha_envio) - 1 AS INT) AS dia_semana_envio,
   CAST(gmgc = 'GM' AS INT) AS es_gm, CAST(month(fecha_envio) = 11 AS INT) AS es_cyber_month, CAST(month(fecha_envio) = 12 AS INT) AS es_diciembre
@@ -383,9 +386,23 @@ FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECED
     "i15_decile_table": "SELECT * FROM deciles",
     "e5_top_decile_lift": "SELECT arg_max(lift, decile) AS top_lift FROM deciles",
     "i7_training_facts": """
-WITH whole AS (SELECT count(*) FILTER (canjeo_5d) AS pos, count(*) FILTER (NOT canjeo_5d) AS neg, avg(CAST(canjeo_5d AS INT)) AS rate,
+SELECT CAST(pos + least(neg, 5 * pos) AS BIGINT) AS n_rows, camps AS n_campaigns, cutoff AS cutoff_date, round(rate, 8) AS base_rate_real
+FROM (SELECT count(*) FILTER (canjeo_5d) AS pos, count(*) FILTER (NOT canjeo_5d) AS neg, avg(CAST(canjeo_5d AS INT)) AS rate,
   count(DISTINCT nombre_campanha) AS camps FROM outcome)
-SELECT CAST(pos + least(neg, 5 * pos) AS BIGINT) AS n_rows, camps AS n_campaigns, DATE '2000-10-05' AS cutoff_date, round(rate, 8) AS base_rate_real FROM whole""",
+CROSS JOIN (SELECT last AS cutoff FROM (SELECT last, row_number() OVER (ORDER BY last) AS rn, count(*) OVER () AS n
+  FROM (SELECT nombre_campanha, max(fecha_envio) AS last FROM outcome GROUP BY 1)) WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1)""",
+    # the fit at a score: the greatest, over starts up to it, of the least mean from the start to an end not before it
+    "i9_isotonic": """
+SELECT nombre_campanha, cust_id, round(p, 8) AS p, round(moved / (1 + moved), 8) AS cal FROM (
+  SELECT nombre_campanha, cust_id, p, iso / (1 - iso + 1e-9) * ((0.02 / (1 - 0.02 + 1e-9)) / (avg_iso / (1 - avg_iso + 1e-9))) AS moved FROM (
+    SELECT e.nombre_campanha, e.cust_id, e.p, iso, avg(iso) OVER () AS avg_iso FROM eval_cal e JOIN (
+      SELECT k.p, max(m.least_mean) AS iso FROM (
+        SELECT j.r AS j, i.r AS i, min((i.s - j.s + j.pos) / (i.c - j.c + j.n)) OVER (PARTITION BY j.r ORDER BY i.r DESC) AS least_mean
+        FROM (SELECT *, row_number() OVER (ORDER BY p) AS r, sum(pos) OVER (ORDER BY p) AS s, sum(n) OVER (ORDER BY p) AS c
+              FROM (SELECT p, count(*) FILTER (canjeo_5d)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM eval_cal GROUP BY p)) j
+        JOIN (SELECT row_number() OVER (ORDER BY p) AS r, sum(pos) OVER (ORDER BY p) AS s, sum(n) OVER (ORDER BY p) AS c
+              FROM (SELECT p, count(*) FILTER (canjeo_5d)::DOUBLE AS pos, count(*)::DOUBLE AS n FROM eval_cal GROUP BY p)) i ON i.r >= j.r) m
+      JOIN (SELECT p, row_number() OVER (ORDER BY p) AS r FROM (SELECT DISTINCT p FROM eval_cal)) k ON k.r = m.i GROUP BY k.p) f ON f.p = e.p))""",
     "i8_scored_customers": "SELECT count(*) AS n, count(DISTINCT cust_id) AS customers, count(*) AS in_range FROM rfm",
     "i16_importance_facts": "SELECT CAST(51 AS BIGINT) AS n_features, 1.0::DOUBLE AS total",
     "i17_saved_model": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different, true AS same_facts FROM rfm",

@@ -1,23 +1,25 @@
-"""Training, scoring and storing of the short-horizon redemption model with pyspark.ml."""
+"""Training, scoring and storing of the short-horizon redemption model."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stampcard.functions.dates import send_calendar
 from stampcard.functions.text import MODEL_TRUE, truthy
-from stampcard.operators.evaluation import prior_correct, prior_ratio, rescale_to_rate, score_counts
+from stampcard.operators import boosting, encoding
+from stampcard.operators import isotonic as steps
+from stampcard.operators.evaluation import prior_correct, prior_ratio, rescale_to_rate
 from stampcard.operators.ranking import order_statistics
-from stampcard.session import materialize, scratch_path
+from stampcard.session import materialize
+from stampcard.sources import commits
 
 # Model inputs by kind.
 CATEGORICAL = ["tier", "gender", "city", "rfm_segment", "dominant_retailer", "funnel_state_at_t0"]
@@ -37,42 +39,53 @@ NUMERIC = [
 ]
 CONTEXT = ["mes_envio", "dia_semana_envio", "es_gm", "es_cyber_month", "es_diciembre"]
 MISSING_CATEGORY = "None"
-UNKNOWN_CODE = -1.0
 SEED = 42
+# Size, learning rate, samples and penalties of the trees.
 TREES, DEPTH = 500, 6
-#: Histogram bins of a numeric input; all inputs are numeric, so the widest category does not matter.
-BINS = 64
+BOOSTING = boosting.Settings(trees=TREES, depth=DEPTH, rate=0.03, rows=0.9, columns=0.6, child_weight=5.0, gamma=0.1, l1=0.5, l2=0.01, seed=SEED)
 #: Training rows wanted in a task.
 ROWS_PER_TASK = 50_000
 
 
 @dataclass
 class Bundle:
-    """All that scoring needs: codes of the categories, trees, calibration, and facts of the training.
+    """All that scoring needs: codes of the categories, trees, calibration steps, and facts of the training.
 
     ``facts`` holds prior ratio, base rate, importances, metrics, configuration and time; it is stored as JSON.
     """
 
-    encoder: StringIndexerModel
-    trees: PipelineModel
+    codes: DataFrame
+    trees: boosting.Booster
     spend_columns: list[str]
-    calibrator: IsotonicRegressionModel | None = None
+    calibrator: DataFrame | None = None
     facts: dict = field(default_factory=dict)
 
     def save(self, path: str) -> None:
-        self.encoder.write().overwrite().save(f"{path}/encoder")
-        self.trees.write().overwrite().save(f"{path}/trees")
-        if self.calibrator:
-            self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        spark = SparkSession.active()
+        """Write all parts as a new version, then name it the current one. Whoever loads meanwhile, or after a failure, gets the version before."""
+        spark = self.codes.sparkSession
+        after, _ = commits.latest(spark, path)
+        version = commits.new_version()
+        self._write(spark, f"{path}/{version}")
+        commits.commit(spark, path, {"version": version}, after)
+
+    def _write(self, spark: SparkSession, folder: str) -> None:
+        self.codes.write.parquet(f"{folder}/codes")
+        self.trees.save(spark, f"{folder}/boosting")
+        if self.calibrator is not None:
+            self.calibrator.write.parquet(f"{folder}/calibrator")
         stored = json.dumps({**self.facts, "spend_columns": self.spend_columns, "calibrated": self.calibrator is not None}, default=str)
-        spark.createDataFrame([(stored,)], "facts STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+        spark.createDataFrame([(stored,)], "facts STRING").coalesce(1).write.parquet(f"{folder}/facts")
 
 
 def load_bundle(path: str) -> Bundle:
-    facts = json.loads(SparkSession.active().read.parquet(f"{path}/facts").first().facts)
-    calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if facts.pop("calibrated") else None
-    return Bundle(StringIndexerModel.load(f"{path}/encoder"), PipelineModel.load(f"{path}/trees"), facts.pop("spend_columns"), calibrator, facts)
+    spark = SparkSession.active()
+    _, current = commits.latest(spark, path)
+    if not current:
+        raise FileNotFoundError(f"{path} holds no finished model")
+    folder = f"{path}/{current['version']}"
+    facts = json.loads(spark.read.parquet(f"{folder}/facts").first().facts)
+    calibrator = spark.read.parquet(f"{folder}/calibrator") if facts.pop("calibrated") else None
+    return Bundle(spark.read.parquet(f"{folder}/codes"), boosting.Booster.load(spark, f"{folder}/boosting"), facts.pop("spend_columns"), calibrator, facts)
 
 
 def numeric_inputs(spend_columns: list[str]) -> list[str]:
@@ -97,6 +110,12 @@ def downsample(df: DataFrame, label: str, keys: list[str], ratio: int = 5, seed:
     return hashed.where(F.col(label) | (~F.col(label) & below)).drop("_hash", "_tie")
 
 
+def union_of_samples(df: DataFrame, label: str, keys: list[str], ratio: int = 5, seed: int = SEED) -> DataFrame:
+    """The positives and the drawn negatives as two samples, put together by column name."""
+    negatives = downsample(df, label, keys, ratio, seed).where(~F.col(label))
+    return df.where(F.col(label)).unionByName(negatives)
+
+
 def campaign_context(df: DataFrame, send_date: str = "fecha_envio", group: str = "gmgc") -> DataFrame:
     treated = F.coalesce(F.col(group) == "GM", F.lit(False)).cast("double")
     return df.withColumns({**send_calendar(F.col(send_date)), "es_gm": treated})
@@ -122,22 +141,6 @@ def prepare(df: DataFrame, spend_columns: list[str]) -> DataFrame:
     return fill_features(encode_flags(campaign_context(df), FLAGS), [*FLAGS, *numeric_inputs(spend_columns), *CONTEXT], CATEGORICAL)
 
 
-def ordinal_encoder(columns: list[str]) -> StringIndexer:
-    """Codes by alphabetical order; labels not seen in training get a code past the last one."""
-    return StringIndexer(
-        inputCols=columns, outputCols=[f"{c}_code" for c in columns], stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
-
-
-def ordinal_codes(encoder, df: DataFrame) -> DataFrame:
-    """Apply a fitted encoder with -1 for unknown labels."""
-    out = encoder.transform(df)
-    codes = {}
-    for column, labels in zip(encoder.getOutputCols(), encoder.labelsArray):
-        codes[column] = F.when(F.col(column) >= len(labels), F.lit(UNKNOWN_CODE)).otherwise(F.col(column))
-    return out.withColumns(codes)
-
-
 def temporal_cutoff(df: DataFrame, send_date: str, campaign: str, share: float = 0.8) -> DataFrame:
     """Send date at position ``int(n * share)`` of the campaigns ordered by their last send, as one row.
 
@@ -167,33 +170,17 @@ def feature_names(spend_columns: list[str]) -> list[str]:
 
 
 def train(df: DataFrame, label: str, spend_columns: list[str], trees: int = TREES, depth: int = DEPTH) -> Bundle:
-    """Boosted trees over prepared rows, categories as ordinal codes.
-
-    The library gathers the categories of a column on the driver, and its trees have no gamma, L1 or L2 penalty. Rows stay
-    with their tree nodes and the long chain of trees is cut by checkpoints.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "tree-checkpoints"))
-    encoder = ordinal_encoder(CATEGORICAL).fit(df)
-    rows = ordinal_codes(encoder, df).withColumn("label", F.col(label).cast("double"))
-    rows = materialize(rows.select("label", *feature_names(spend_columns)), "training-codes")
-    boosted = GBTClassifier(
-        labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.03, subsamplingRate=0.9,
-        featureSubsetStrategy="0.6", minInstancesPerNode=5, maxBins=BINS, seed=SEED, cacheNodeIds=True, checkpointInterval=10,
-    )
-    stages = [VectorAssembler(inputCols=feature_names(spend_columns), outputCol="features"), boosted]
-    fitted = Pipeline(stages=stages).fit(rows.repartition(max(1, rows.count() // ROWS_PER_TASK)))
-    weights = fitted.stages[-1].featureImportances.toArray()
-    facts = {"importance": {name: float(w) for name, w in zip(feature_names(spend_columns), weights)}, "trees": trees, "depth": depth}
-    return Bundle(encoder, fitted, spend_columns, None, facts)
+    """Boosted trees over prepared rows, categories as codes by label order."""
+    codes = encoding.code_table(df, CATEGORICAL)
+    inputs = feature_names(spend_columns)
+    rows = materialize(encoding.with_codes(df, codes, CATEGORICAL).select(F.col(label).alias("label"), *inputs), "training-codes")
+    fitted = boosting.fit(rows, inputs, "label", replace(BOOSTING, trees=trees, depth=depth), max(1, rows.count() // ROWS_PER_TASK))
+    return Bundle(codes, fitted, spend_columns, None, {"importance": fitted.importance(), "trees": trees, "depth": depth})
 
 
 def score(bundle: Bundle, df: DataFrame, out: str = "p") -> DataFrame:
     """Probability of the positive class for prepared rows."""
-    scored = bundle.trees.transform(ordinal_codes(bundle.encoder, df))
-    made = [f"{c}_code" for c in CATEGORICAL] + ["features", "rawPrediction", "probability", "prediction"]
-    return scored.withColumn(out, vector_to_array("probability")[1]).drop(*made)
+    return bundle.trees.score(encoding.with_codes(df, bundle.codes, CATEGORICAL), out).drop(*[f"{c}_code" for c in CATEGORICAL])
 
 
 def train_propensity(df: DataFrame, label: str) -> PipelineModel:
@@ -213,25 +200,20 @@ def propensity_scores(model: PipelineModel | None, customers: DataFrame) -> Data
     return scored.select("cust_id", vector_to_array("probability")[1].alias("propensity_score"))
 
 
-def isotonic(df: DataFrame, p: str, label: str) -> IsotonicRegressionModel:
-    """Monotone map of scores to observed rates.
-
-    Rows of equal score are folded into one weighted point first; the fit is the same.
-    """
-    rows = F.col("pos") + F.col("neg")
-    points = score_counts(df, p, label).select("score", (F.col("pos") / rows).alias("rate"), rows.cast("double").alias("rows"))
-    return IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="rows").fit(points)
+def isotonic(df: DataFrame, p: str, label: str) -> DataFrame:
+    """Monotone map of scores to observed rates, as steps."""
+    return steps.fit(df, p, label)
 
 
-def sample_ratio(model: IsotonicRegressionModel, df: DataFrame, p: str, base_rate: float) -> float:
+def sample_ratio(model: DataFrame, df: DataFrame, p: str, base_rate: float) -> float:
     """Odds of the base rate over odds of the mean calibrated score."""
-    mapped = model.setFeaturesCol(p).setPredictionCol("_iso").transform(df)
+    mapped = steps.apply(model, df, p, "_iso")
     return mapped.agg(F.avg("_iso").alias("mean")).select(prior_ratio(F.lit(base_rate), F.col("mean")).alias("r")).first().r
 
 
-def calibrate(model: IsotonicRegressionModel, df: DataFrame, p: str, base_rate: float, out: str = "cal") -> DataFrame:
+def calibrate(model: DataFrame, df: DataFrame, p: str, base_rate: float, out: str = "cal") -> DataFrame:
     """Isotonic map, then prior correction from the sampled mean to the real base rate."""
-    mapped = model.setFeaturesCol(p).setPredictionCol("_iso").transform(df)
+    mapped = steps.apply(model, df, p, "_iso")
     return mapped.withColumn(out, prior_correct(F.col("_iso"), F.lit(sample_ratio(model, df, p, base_rate)))).drop("_iso")
 
 

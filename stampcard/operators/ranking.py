@@ -18,14 +18,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 Position = namedtuple("Position", "position value tie")
-_MIN_BUCKETS, _MAX_BUCKETS, _PIECES = 32, 1000, 16
+_MIN_BUCKETS, _PIECES = 32, 16
+#: Rows wanted in a bucket, and groups of rows whose percentiles are found apart and then combined.
+BUCKET_ROWS, _GROUPS = 500_000, 16
 
 
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return max(2, buckets)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(4 * partitions, _MIN_BUCKETS), _MAX_BUCKETS)
+def _bucket_count(rows: int, buckets: int | None) -> int:
+    return max(2, buckets) if buckets else max(_MIN_BUCKETS, -(-rows // BUCKET_ROWS))
 
 
 class _Cuts:
@@ -47,10 +46,10 @@ class _Cuts:
     def add_bucket(self, df: DataFrame, value: str, tie: str | None, out: str) -> DataFrame:
         """Add an order-preserving bucket number; heavy values come first in their value bucket."""
         value_bucket, tie_bucket = f"{out}_v", f"{out}_t"
-        df = _bucketize(df, value, self.value_edges, value_bucket)
+        df = bucketize(df, value, self.value_edges, value_bucket)
         sub = F.lit(self.width - 1)
         if tie is not None and self.heavy:
-            df = _bucketize(df, tie, self.tie_edges, tie_bucket)
+            df = bucketize(df, tie, self.tie_edges, tie_bucket)
             for step, values in self.heavy.items():
                 piece = F.floor(F.col(tie_bucket) / step)
                 listed = ", ".join(f"{v!r}D" for v in values)
@@ -64,7 +63,7 @@ def _edges(points: list[float]) -> list[float]:
     return sorted({point for point in points if isfinite(point)}) or [0.0]
 
 
-def _bucketize(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:
+def bucketize(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:
     """Binary search of ``column`` in ``edges``; the bucket starts at its edge."""
     splits = [float("-inf"), *edges, float("inf")]
     source = f"{out}_in"
@@ -80,17 +79,21 @@ def _percentiles(column: str, buckets: int) -> Column:
 
 
 def _plan_cuts(df: DataFrame, values: list[str], tie: str | None, buckets: int | None) -> tuple[int, list[_Cuts]]:
-    """One pass: row count and cut points of all value columns."""
-    parts = _bucket_count(df, buckets)
-    wanted = [F.count(F.lit(1)).alias("n")]
-    wanted += [_percentiles(name, parts).alias(f"v{i}") for i, name in enumerate(values)]
-    if tie:
-        wanted.append(_percentiles(tie, parts).alias("t"))
-    row = df.agg(*wanted).first()
-    if row.n == 0:
+    """Row count and cut points of all value columns.
+
+    The number of buckets follows the rows. No task merges the sketches of all others: rows are dealt to a few groups by a hash, each group has its own
+    percentiles, and the percentiles of these points, equally many a group, are the cut points.
+    """
+    rows = df.count()
+    if rows == 0:
         return 0, []
-    tie_points = row["t"] if tie else []
-    return row.n, [_Cuts(row[f"v{i}"], tie_points) for i in range(len(values))]
+    parts = _bucket_count(rows, buckets)
+    names = {f"v{i}": name for i, name in enumerate(values)} | ({"t": tie} if tie else {})
+    group = F.pmod(F.xxhash64(*dict.fromkeys([*values, *([tie] if tie else [])])), F.lit(_GROUPS))
+    by_group = df.groupBy(group.alias("_group")).agg(*[_percentiles(name, parts).alias(k) for k, name in names.items()])
+    points = by_group.select(F.inline(F.arrays_zip(*[F.col(k) for k in names])))
+    row = points.agg(*[_percentiles(k, parts).alias(k) for k in names]).first()
+    return rows, [_Cuts(row[f"v{i}"], row["t"] if tie else []) for i in range(len(values))]
 
 
 def order_statistics_many(df: DataFrame, values: list[str], tie: str, positions_of, buckets: int | None = None):

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
 from stampcard.functions import dates, ratios, text
 from stampcard.operators import (
-    attribution, evaluation, features, identity, intervals, lifecycle, metrics, model, pivots, planning, ranking, reports, rfm,
+    attribution, encoding, evaluation, features, identity, intervals, lifecycle, metrics, model, pivots, planning, ranking, reports, rfm,
 )
 from stampcard.plans import jobs
 from stampcard.plans.marts import Marts
@@ -102,9 +102,11 @@ def _(m):
     path = scratch_path(m.spark, "metrics")
     cube = m.metrics()
     sinks.write_metrics(cube, path)
-    june_on = cube.where(F.col("FECHA_ENVIO") >= F.lit(dt.date(2000, 6, 1)))
-    sinks.write_metrics(june_on, path, backfill=True)
-    return m.spark.read.schema(cube.schema).parquet(path).select(*cube.columns)
+    # the backfill from June on finds no sends on the last day any more: that day goes, the days before June stay
+    first, last = dt.date(2000, 6, 1), cube.agg(F.max("FECHA_ENVIO")).scalar()
+    again = cube.where(F.col("FECHA_ENVIO") >= F.lit(first)).where(F.col("FECHA_ENVIO") < last)
+    sinks.write_metrics(again, path, (first, END))
+    return scans.read_dates(m.spark, path, cube.schema)
 
 
 @query("a10_csv_export", "A10 B17")
@@ -749,12 +751,19 @@ def _predictions(m: Marts) -> DataFrame:
 _SEND_KEYS = ["fecha_envio", "nombre_campanha", "gmgc", "cust_id"]
 
 
-@query("i1_downsample_counts", "I1 E10")
+@query("i1_downsample_counts", "I1")
 def _(m):
     kept = model.downsample(m.outcomes(), "canjeo_5d", _SEND_KEYS)
     return kept.groupBy("canjeo_5d").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("e10_union_of_samples", "E10 I1")
+def _(m):
+    """All positives and the drawn negatives as one table, counted by treatment."""
+    sample = model.union_of_samples(m.outcomes(), "canjeo_5d", _SEND_KEYS)
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.count_if("canjeo_5d").alias("positives"), F.countDistinct(*_SEND_KEYS).alias("sends"))
+
+
 @query("i2_campaign_context", "I2 G9 G10")
 def _(m):
     rows = model.campaign_context(m.outcomes())
@@ -773,7 +782,7 @@ def _(m):
 def _(m):
     columns = ["tier", "dominant_retailer"]
     seen = model.fill_features(m.rfm(), [], columns)
-    coded = model.ordinal_codes(model.ordinal_encoder(columns).fit(seen), seen)
+    coded = encoding.with_codes(seen, encoding.code_table(seen, columns), columns)
     return coded.select("cust_id", *[F.col(f"{c}_code").cast("int").alias(f"{c}_code") for c in columns])
 
 
@@ -867,7 +876,7 @@ def _(m):
 @query("i9_isotonic", "I9")
 def _(m):
     rows = _evaluation_rows(m)
-    return model.calibrate(model.isotonic(rows, "p", "canjeo_5d"), rows, "p", 0.02).select("nombre_campanha", "cust_id", "p", "cal")
+    return model.calibrate(model.isotonic(rows, "p", "canjeo_5d"), rows, "p", 0.02).select("nombre_campanha", "cust_id", F.round("p", 8).alias("p"), F.round("cal", 8).alias("cal"))
 
 
 @query("i16_importance", "I16 E9")

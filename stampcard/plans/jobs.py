@@ -30,9 +30,9 @@ class Entities:
 
 
 def rebuild_metrics(data: Entities, start: dt.date, end: dt.date, path: str, backfill: bool = False) -> None:
-    """Metrics cube of the sends in [start, end]; a backfill replaces only the send dates it covers."""
+    """Metrics cube of the sends in [start, end]; a backfill replaces these days only, also those that have no rows any more."""
     cube = campaign_redemption_metrics(data.sends, data.redemptions, data.funnel, data.mail, data.jobs, start, end)
-    write_metrics(cube, path, backfill)
+    write_metrics(cube, path, (start, end) if backfill else None)
 
 
 def build_rfm(data: Entities, t0: dt.date, channels: list[str], score: DataFrame | None = None) -> DataFrame:

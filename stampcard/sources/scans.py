@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, DateType, StringType, StructType, TimestampType
 
 from stampcard.functions.dates import last_closed_month
+from stampcard.sources import commits
 
 # Columns of the e-mail feed and of the send-base export.
 EMAIL_COLUMNS = [
@@ -43,6 +45,20 @@ def read_campaign(spark: SparkSession, root: str, campaign: str, columns: list[s
     return df.select(*columns) if columns else df
 
 
+def read_dates(spark: SparkSession, path: str, contract: StructType, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """The committed state of a dataset by date (``sinks.write_dates``); only folders of the wanted days are listed and read."""
+    _, state = commits.latest(spark, path)
+    days: dict[str, list[str]] = {}
+    for day, version in sorted(state.get("days", {}).items()):
+        if (start is None or day >= start.isoformat()) and (end is None or day <= end.isoformat()):
+            days.setdefault(version, []).append(day)
+    parts = [
+        spark.read.schema(contract).option("basePath", f"{path}/{version}").parquet(*[f"{path}/{version}/{state['column']}={day}" for day in own]).select(*contract.names)
+        for version, own in days.items()
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], contract)
+
+
 def normalize_types(df: DataFrame, contract: StructType) -> DataFrame:
     """Cast to the declared types; values that do not parse become null instead of failing."""
     present = {name.lower(): name for name in df.columns}

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
-from stampcard.operators import model
+from stampcard.operators import isotonic, model
 from stampcard.plans import jobs
 from stampcard.plans.marts import Marts
 from stampcard.schemas import schema
@@ -31,11 +30,12 @@ def test_rebuild_and_backfill(spark, marts, tmp_path):
     path = str(tmp_path / "metrics")
     data = marts.entities()
     jobs.rebuild_metrics(data, START, END, path)
-    stored = spark.read.schema(schema("metrics")).parquet(path)
+    stored = scans.read_dates(spark, path, schema("metrics"))
     assert content(stored) == content(marts.metrics())
-    assert "FECHA_ENVIO=2000-03-05" in os.listdir(path)
+    one = scans.read_dates(spark, path, schema("metrics"), dt.date(2000, 3, 5), dt.date(2000, 3, 5))
+    assert one.count() > 0 and all("FECHA_ENVIO=2000-03-05" in name for name in one.inputFiles())
     jobs.rebuild_metrics(data, dt.date(2000, 9, 1), END, path, backfill=True)
-    again = spark.read.schema(schema("metrics")).parquet(path)
+    again = scans.read_dates(spark, path, schema("metrics"))
     early = "FECHA_ENVIO < DATE '2000-09-01'"
     assert content(again.where(early)) == content(marts.metrics().where(early))
     assert again.select("FECHA_ENVIO").distinct().count() == 12
@@ -75,9 +75,9 @@ def test_train_saves_model_and_metrics(spark, tmp_path):
     assert 0 <= row.auc <= 1 and 0 <= row.average_precision <= 1 and row.n_test > 0
     assert row.cutoff_date == dt.date(2000, 10, 5)
     stored = model.load_bundle(path)
-    assert len(stored.trees.stages) == len(fitted.trees.stages) and stored.calibrator.boundaries == fitted.calibrator.boundaries
+    assert len(stored.trees.trees) == len(fitted.trees.trees) == 2 and content(stored.calibrator) == content(fitted.calibrator)
     assert stored.facts["prior_ratio"] == fitted.facts["prior_ratio"] == row.prior_ratio and stored.facts["trained_at"]
-    mean = fitted.calibrator.setFeaturesCol("p").setPredictionCol("iso").transform(_test_scores(spark, fitted, marts)).agg(F.avg("iso")).first()[0]
+    mean = isotonic.apply(fitted.calibrator, _test_scores(spark, fitted, marts), "p", "iso").agg(F.avg("iso")).first()[0]
     odds = lambda x: x / (1 - x)
     assert row.prior_ratio == pytest.approx(odds(row.base_rate_real) / odds(mean), rel=1e-6)
     planned = model.predict_audience(stored, marts.rfm().limit(20), dt.date(2001, 1, 15))
@@ -108,3 +108,27 @@ def test_materialize_keeps_schema_and_column_order(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "x INT, part STRING, y DOUBLE")
     stored = materialize(df, "probe", ["part"])
     assert stored.dtypes == df.dtypes and [tuple(r) for r in stored.collect()] == [(1, "a", 2.0)]
+
+
+def test_a_range_of_days_is_replaced_whole(spark, tmp_path, monkeypatch):
+    """Days of the range without rows go, other days stay, and a write that stops changes nothing."""
+    from stampcard.sources import commits, scans, sinks
+
+    day = lambda k: dt.date(2000, 5, k)
+    frame = lambda rows: spark.createDataFrame(rows, "x INT, day DATE")
+    path = str(tmp_path / "cube")
+    read = lambda *days: sorted((r.x, r.day) for r in scans.read_dates(spark, path, frame([]).schema, *days).collect())
+    assert read() == []
+    sinks.write_dates(frame([(k, day(k)) for k in range(1, 8)]), path, "day")
+    sinks.write_dates(frame([(30, day(3)), (31, day(3)), (50, day(5))]), path, "day", (day(3), day(5)))
+    wanted = [(1, day(1)), (2, day(2)), (6, day(6)), (7, day(7)), (30, day(3)), (31, day(3)), (50, day(5))]
+    assert read() == wanted and read(day(3), day(6)) == [(6, day(6)), (30, day(3)), (31, day(3)), (50, day(5))]
+    with monkeypatch.context() as broken:
+        broken.setattr(commits, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            sinks.write_dates(frame([(99, day(1))]), path, "day", (day(1), day(7)))
+    assert read() == wanted
+    with pytest.raises(ValueError):
+        sinks.write_dates(frame([(9, day(9))]), path, "day", (day(1), day(7)))
+    sinks.write_dates(frame([]), path, "day", (day(1), day(6)))
+    assert read() == [(7, day(7))]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stampcard.operators import evaluation, model
+from stampcard.operators import encoding, evaluation, isotonic, model
+from stampcard.sources import commits
 
 KEYS = ["cust_id"]
 
@@ -74,15 +75,27 @@ def pava(x, y):
     return {v: block[0] for block in merged for v in block[2]}
 
 
-def test_isotonic_matches_pool_adjacent_violators(spark):
-    df = scored(spark, 600)
+@pytest.mark.parametrize("fan_in", [2, 16])
+def test_isotonic_matches_pool_adjacent_violators(spark, fan_in):
+    df = scored(spark, 600).repartition(5)
     pdf = df.toPandas()
     want = pava(pdf["p"].to_numpy(), pdf["y"].to_numpy().astype(float))
-    fitted = model.isotonic(df, "p", "y").setFeaturesCol("p").setPredictionCol("iso")
-    for row in fitted.transform(df).select("p", "iso").distinct().collect():
+    fitted = isotonic.fit(df, "p", "y", fan_in)
+    assert fitted.selectExpr("sum(rows) AS n").first().n == 600 and fitted.count() == len(set(want.values()))
+    for row in isotonic.apply(fitted, df, "p", "iso").select("p", "iso").distinct().collect():
         assert row.iso == pytest.approx(want[row.p], abs=1e-9)
 
 
+def test_isotonic_between_and_beyond_steps(spark):
+    fitted = spark.createDataFrame([(0.1, 0.2, 5.0, 0.0), (0.3, 0.3, 2.0, 0.4), (0.5, 0.8, 9.0, 0.6), (0.9, 0.9, 1.0, 1.0)], "low DOUBLE, high DOUBLE, rows DOUBLE, value DOUBLE")
+    asked = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7, 0.8, 0.85, 0.9, 2.0, None)], "p DOUBLE")
+    want = {None: None, **{x: np.interp(x, [0.1, 0.2, 0.3, 0.5, 0.8, 0.9], [0, 0, 0.4, 0.6, 0.6, 1]) for (x,) in asked.where("p IS NOT NULL").collect()}}
+    for way in (isotonic._sent, lambda *a: isotonic._joined(*a, buckets=3)):
+        got = {r.p: r.v for r in way(fitted, asked, "p", "v").collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(v) if v is not None else got[x] is None for x, v in want.items())
+    assert [r.v for r in isotonic.apply(fitted.limit(0), asked, "p", "v").collect()] == [None] * 14
+
+
 @pytest.mark.parametrize("ratio, negatives", [(2, 200), (50, 900)])
 def test_downsample_is_exact_and_repeatable(spark, ratio, negatives):
     df = spark.range(1000).select(F.col("id").alias("cust_id"), (F.col("id") < 100).alias("y"))
@@ -113,9 +126,20 @@ def test_temporal_split_and_empty_test(spark):
 def test_unknown_category_is_minus_one(spark):
     seen = spark.createDataFrame([("b",), ("a",), (None,)], "tier STRING")
     new = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "tier STRING")
-    encoder = model.ordinal_encoder(["tier"]).fit(model.fill_features(seen, [], ["tier"]))
-    out = model.ordinal_codes(encoder, model.fill_features(new, [], ["tier"])).collect()
-    assert [row.tier_code for row in out] == [1.0, 2.0, -1.0, 0.0]
+    codes = encoding.code_table(model.fill_features(seen, [], ["tier"]), ["tier"])
+    out = encoding.with_codes(model.fill_features(new, [], ["tier"]), codes, ["tier"]).collect()
+    assert {row.tier: row.tier_code for row in out} == {"a": 1.0, "b": 2.0, "z": -1.0, "None": 0.0}
+
+
+def test_many_labels_are_coded_in_order(spark):
+    """200,000 labels of one column and a few of another, over many ranges."""
+    df = spark.range(400_000).select(F.concat(F.lit("city "), F.xxhash64(F.col("id") % 200_000).cast("string")).alias("city"), (F.col("id") % 3).cast("string").alias("tier")).repartition(20)
+    codes = encoding.code_table(df, ["city", "tier"])
+    by = {r.feature: r for r in codes.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("code").alias("d"), F.min("code").alias("low"), F.max("code").alias("high")).collect()}
+    assert (by["city"].n, by["city"].d, by["city"].low, by["city"].high) == (200_000, 200_000, 0.0, 199_999.0) and by["tier"].n == 3
+    rows = [r.label for r in codes.where("feature = 'city'").orderBy("code").select("label").collect()]
+    assert rows == sorted(rows)
+    assert encoding.with_codes(df, codes, ["city", "tier"]).where("city_code < 0 OR tier_code < 0").count() == 0
 
 
 def test_absent_inputs_become_zero(spark):
@@ -139,3 +163,28 @@ def test_propensity_fills_absent_inputs(spark):
     fitted = model.train_propensity(data, "y")
     assert model.propensity_scores(fitted, data).where("propensity_score BETWEEN 0 AND 1").count() == 100
     assert model.propensity_scores(None, data).where("propensity_score IS NULL").count() == 100
+
+
+def test_a_save_that_stops_leaves_the_old_bundle(spark, tmp_path, monkeypatch):
+    rows = spark.range(400).select(
+        F.col("id").alias("cust_id"), (F.col("id") % 5).cast("string").alias("tier"), (F.col("id") % 7 < 3).alias("y"), F.lit(dt.date(2000, 5, 1)).alias("fecha_envio"), F.lit("GM").alias("gmgc"),
+        (F.col("id") % 7).alias("age"),
+    )
+    prepared, path = model.prepare(rows, []), str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        model.load_bundle(path)
+    first, second = (model.train(prepared, "y", [], trees=n, depth=2) for n in (2, 3))
+    first.save(path)
+
+    def stopped(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(model.boosting.Booster, "save", stopped)  # after the codes, before the trees
+        with pytest.raises(RuntimeError):
+            second.save(path)
+    assert len(model.load_bundle(path).trees.trees) == 2
+    second.save(path)
+    assert len(model.load_bundle(path).trees.trees) == 3
+    with pytest.raises(RuntimeError):
+        commits.commit(spark, path, {"version": "late"}, 1)  # somebody else committed in between

@@ -112,3 +112,14 @@ def test_nulls_and_nan_have_no_rank(spark):
     df = spark.createDataFrame(data, "id BIGINT, v DOUBLE")
     ranked = {r.id: r.rn for r in ranking.distributed_rank(df, "v", "id").collect()}
     assert ranked == {1: 3, 2: None, 3: 1, 4: None, 5: None, 6: 2}
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    """A million rows, a thousand wanted in a bucket, a tenth of them on one value: no bucket holds much more."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 1000)
+    df = spark.range(1_000_000).select(F.col("id").alias("cust_id"), F.when(F.col("id") % 10 == 0, 0.5).otherwise(F.rand(7)).alias("v"))
+    n, (cuts,) = ranking._plan_cuts(df, ["v"], "cust_id", None)
+    sizes = cuts.add_bucket(df, "v", "cust_id", "b").groupBy("b").count()
+    assert n == 1_000_000 and sizes.agg(F.max("count")).first()[0] <= 2500
+    ranked = ranking.distributed_rank(df, "v", "cust_id")
+    assert ranked.agg(F.count_distinct("rn"), F.max("rn")).first() == (n, n)
