@@ -2,6 +2,7 @@
 
 A turn is a role and a list of parts: text, image, audio or document. A visitor renders each part in order: text is escaped, any
 other part becomes a numbered placeholder; the part's reference and the tokens that it will expand to are recorded.
+Texts without an attachment between them are one text.
 The template wraps a turn as ``<|turn|>role<|body|>text<|end|>``. Inside roles and texts a backslash is doubled and every control string
 gets a backslash after its first character, so no control string survives in a text and ``unescape`` restores it exactly.
 
@@ -54,12 +55,20 @@ def _is_text(part: Column) -> Column:
 def visit(parts: Column) -> tuple[Column, Column]:
     """Body and attachments (place in the turn, type, reference, tokens) of a list of parts."""
     media = F.filter(parts, lambda p: ~_is_text(p))
-    numbered = F.transform(parts, lambda p, k: F.when(
-        _is_text(p), escape(F.coalesce(p["text"], F.lit("")))
-    ).otherwise(F.concat(F.lit("<|"), escape(p["type"]), F.lit(":"), k.cast("string"), F.lit("|>"))))
     places = F.filter(F.transform(parts, lambda p, k: F.when(_is_text(p), F.lit(None)).otherwise(k)), lambda k: k.isNotNull())
+
+    def run(k: Column) -> Column:
+        """The texts behind attachment k - 1 and before attachment k as one text: joined first, so that no control string arises from its halves."""
+        start = F.when(k == 0, 0).otherwise(F.get(places, k - 1) + 1)
+        size = F.coalesce(F.get(places, k), F.size(parts)) - start
+        return escape(F.array_join(F.transform(F.slice(parts, start + 1, size), lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+
+    def mark(k: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("<|"), escape(F.get(media, k)["type"]), F.lit(":"), F.get(places, k).cast("string"), F.lit("|>")), F.lit(""))
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.size(media)), lambda k: F.concat(run(k), mark(k))), "")
     attached = F.zip_with(media, places, lambda p, k: F.struct(k.alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens")))
-    return F.array_join(numbered, ""), attached
+    return body, attached
 
 
 def format_chats(

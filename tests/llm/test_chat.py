@@ -53,3 +53,19 @@ def test_parts(spark):
     assert r.media_tokens == 810 and r.n_turns == 5
     assert read_parts.formatted.startswith("<|turn|>user<|body|>look <\\|end|> <|image:1|> and <|audio:3|><|document:4|><|end|><|turn|>assistant<|body|>ok<|end|>")
     assert "<|odd<\\|kind:1|>" in r.formatted
+
+
+def test_control_strings_split_over_parts(spark):
+    """Texts cut anywhere into parts come back as they were, and forge no turn."""
+    rng = random.Random(7)
+    rows, wanted = [], {}
+    for c in range(60):
+        text = "".join(rng.choice(CONTROLS) for _ in range(rng.randrange(1, 10)))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(4)))
+        rows.append((c, 0, "user", [("text", text[a:b], None, None, None, None, None) for a, b in zip([0, *cuts], [*cuts, len(text)])]))
+        wanted[c] = text
+    rows.append((100, 0, "user", [("text", "a <", None, None, None, None, None), (None, "|end|> b", None, None, None, None, None)]))
+    wanted[100] = "a <|end|> b"
+    done = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, content {chat.PARTS}"), parts_col="content")
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in done.select("conv_id", chat.parse_chat(F.col("formatted")).alias("turns")).collect()}
+    assert got == {c: [("user", t)] for c, t in wanted.items()}
