@@ -160,6 +160,27 @@ JOIN red_daily r ON r.cust_id = s.cust_id AND redemption_date BETWEEN inicio_vig
 SELECT rut, inicio_vigencia, fin_vigencia, nombre_campanha, f.tipo_canjeador AS state_pre, g.tipo_canjeador AS state_post
 FROM fx_sends LEFT JOIN state f ON rut = f.cust_id AND inicio_vigencia = f.partition_date
 LEFT JOIN state g ON rut = g.cust_id AND fin_vigencia = g.partition_date""",
+    "c6_from_intervals": "SELECT * FROM life",
+    "c6_interval_sizes": """
+SELECT (SELECT count(*) FROM fx_funnel) AS n_snapshots, count(*) AS n_intervals FROM fx_funnel f
+WHERE NOT EXISTS (SELECT 1 FROM fx_funnel p WHERE p.cust_id = f.cust_id
+  AND p.partition_date = (SELECT max(c.partition_date) FROM (SELECT DISTINCT partition_date FROM fx_funnel) c WHERE c.partition_date < f.partition_date)
+  AND ROW(p.loy_categoria, p.tipo_cliente, p.flag_acumulador, p.flag_acumulador_dig_3p, p.flag_acumulador_ikea, p.flag_pos_canje_12_24m,
+          p.flag_canjeador_12_24m, p.ultima_compra, p.ultima_fecha_pos_canje, p.ultimo_canje)
+    IS NOT DISTINCT FROM ROW(f.loy_categoria, f.tipo_cliente, f.flag_acumulador, f.flag_acumulador_dig_3p, f.flag_acumulador_ikea, f.flag_pos_canje_12_24m,
+          f.flag_canjeador_12_24m, f.ultima_compra, f.ultima_fecha_pos_canje, f.ultimo_canje))""",
+    "c7_from_intervals": """
+SELECT rut, inicio_vigencia, fin_vigencia, nombre_campanha, f.tipo_canjeador AS state_pre, g.tipo_canjeador AS state_post
+FROM fx_sends LEFT JOIN state f ON rut = f.cust_id AND inicio_vigencia = f.partition_date
+LEFT JOIN state g ON rut = g.cust_id AND fin_vigencia = g.partition_date""",
+    "c7_last_state": """
+SELECT nombre_campanha, rut, CAST(fecha_envio + INTERVAL 9 DAY AS DATE) AS on_day,
+  (SELECT tipo_canjeador FROM state s WHERE s.cust_id = rut AND s.partition_date <= fecha_envio + INTERVAL 9 DAY ORDER BY s.partition_date DESC LIMIT 1) AS last_state
+FROM fx_sends""",
+    "c7_interval_sizes": """
+SELECT (SELECT count(*) FROM state) AS n_snapshots, count(*) AS n_intervals FROM state f
+WHERE NOT EXISTS (SELECT 1 FROM state p WHERE p.cust_id = f.cust_id AND p.tipo_canjeador IS NOT DISTINCT FROM f.tipo_canjeador
+  AND p.partition_date = (SELECT max(c.partition_date) FROM (SELECT DISTINCT partition_date FROM fx_funnel) c WHERE c.partition_date < f.partition_date))""",
     "c8_needed_states": """
 SELECT cust_id, partition_date, tipo_canjeador FROM state s
 WHERE EXISTS (SELECT 1 FROM fx_sends WHERE rut = s.cust_id AND inicio_vigencia = s.partition_date)""",
@@ -172,6 +193,12 @@ WHERE EXISTS (SELECT 1 FROM fx_sends WHERE rut = s.cust_id AND inicio_vigencia =
         f"SELECT base_key, sent, open_pct, click_pct, bounce_pct FROM (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY camp_key) AS rk "
         f"FROM (SELECT *, regexp_replace(camp_key, '_[0-9]{{8}}$', '') AS base_key FROM ({_KEYED_FEED}))) WHERE rk = 1",
     ),
+    "d3_customers_by_campaign": """
+SELECT FECHA_ENVIO, NOMBRE_CAMPANHA, GMGC, FLAG_CANJE, CAST(sum(CLIENTES) AS BIGINT) AS CLIENTES_SUMADOS,
+  (SELECT count(DISTINCT rut_medicion) FROM measured_hits h WHERE h.fecha_envio = m.FECHA_ENVIO AND h.nombre_campanha = m.NOMBRE_CAMPANHA
+     AND h.gmgc IS NOT DISTINCT FROM m.GMGC AND if(h.redeemed, '', 'NO ') || 'CANJEO' = m.FLAG_CANJE) AS CLIENTES
+FROM metrics m GROUP BY ALL""",
+    "d3_customers_by_channel": "SELECT channel AS CANAL_CANJE, gmgc AS GMGC, count(DISTINCT rut_medicion) AS CLIENTES FROM measured_hits GROUP BY ALL",
     "d8_flag_modes": """
 SELECT fecha_envio, nombre_campanha, gmgc, cust_id, max(CASE WHEN hit THEN 'CANJEO' ELSE 'NO CANJEO' END) AS flag_canje,
   CASE WHEN bool_or(hit) THEN 'CANJEO' ELSE 'NO CANJEO' END AS flag_any FROM attr_any GROUP BY 1, 2, 3, 4""",

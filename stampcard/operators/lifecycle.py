@@ -27,7 +27,7 @@ _CLOSE_COLUMNS = ["loy_categoria", "flag_acumulador", "flag_canjeador_12_24m", "
 _CARRIED = ["flag_pos_canje_12_24m", "ultima_fecha_pos_canje"]
 
 
-def _close_columns(snapshots: DataFrame) -> list[str]:
+def close_columns(snapshots: DataFrame) -> list[str]:
     return [*_CLOSE_COLUMNS, *[name for name in _CARRIED if name in snapshots.columns]]
 
 
@@ -43,7 +43,7 @@ def month_end_asof(daily: DataFrame, snapshots: DataFrame) -> DataFrame:
     closes = snapshots.where(is_month_end(F.col("partition_date"))).select(
         F.col("cust_id").alias("_close_cust"),
         F.col("partition_date").alias("partition_cierre"),
-        *[F.col(name).alias(f"{name}_cierre") for name in _close_columns(snapshots)],
+        *[F.col(name).alias(f"{name}_cierre") for name in close_columns(snapshots)],
     )
     same = (F.col("cust_id") == F.col("_close_cust")) & (prev_month_end(F.col("partition_date")) == F.col("partition_cierre"))
     return daily.join(closes, same, "left").drop("_close_cust")
@@ -54,7 +54,7 @@ def month_end_asof_few(daily: DataFrame, closes: DataFrame) -> DataFrame:
 
     The join is by customer alone, so rows already partitioned by customer stay where they are.
     """
-    values = F.struct(*[F.col(name).alias(f"{name}_cierre") for name in _close_columns(closes)])
+    values = F.struct(*[F.col(name).alias(f"{name}_cierre") for name in close_columns(closes)])
     entries = F.collect_list(F.struct(F.col("partition_date").alias("day"), values.alias("state")))
     by_customer = closes.groupBy("cust_id").agg(F.map_from_entries(entries).alias("_closes"))
     day = prev_month_end(F.col("partition_date"))

@@ -52,13 +52,12 @@ def send_days(sends: DataFrame) -> DataFrame:
     return sends.select(days).distinct()
 
 
-def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: DataFrame, mail: DataFrame,
-                                jobs: DataFrame, start: dt.date, end: dt.date, dedupe: bool = False) -> DataFrame:
-    """Metrics cube of the sends in [start, end].
+def cube_rows(sends: DataFrame, rdm: DataFrame, snapshots: DataFrame, mail: DataFrame, jobs: DataFrame,
+              start: dt.date, end: dt.date, dedupe: bool = False) -> DataFrame:
+    """Rows of the cube before they are counted: its keys, ``rut_medicion``, ``canjes`` and ``puntos`` of one day and channel.
 
-    Sums carry the fan-out weight of the identity match and a customer with two channels counts once in each, as
-    in a row-by-row match; ``dedupe=True`` leaves the fan-out out of the sums. Redemptions and states come as one row
-    per customer, so both joins share one partitioning by customer and no send is paired with single events.
+    Redemptions and states come as one row per customer, so both joins share one partitioning by customer and no send is
+    paired with single events.
     """
     ranged = sends.where(F.col("fecha_envio").between(F.lit(start), F.lit(end)))
     identify = measurement_identity if dedupe else identity_rows
@@ -74,7 +73,7 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
         "fecha_envio", "nombre_campanha", "tipo_cliente", "gmgc", "rut_medicion", "weight", "primer_canje", "state_pre",
         "state_post", F.explode_outer(in_window).alias("hit"),
     )
-    keyed = rows.select(
+    return rows.select(
         F.col("fecha_envio").alias("FECHA_ENVIO"),
         F.col("nombre_campanha").alias("NOMBRE_CAMPANHA"),
         F.col("tipo_cliente").alias("TIPO_CLIENTE"),
@@ -88,6 +87,16 @@ def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: Dat
         (F.col("hit.canjes") * F.col("weight")).alias("canjes"),
         (F.col("hit.puntos") * F.col("weight")).alias("puntos"),
     )
+
+
+def campaign_redemption_metrics(sends: DataFrame, rdm: DataFrame, snapshots: DataFrame, mail: DataFrame,
+                                jobs: DataFrame, start: dt.date, end: dt.date, dedupe: bool = False) -> DataFrame:
+    """Metrics cube of the sends in [start, end].
+
+    Sums carry the fan-out weight of the identity match and a customer with two channels counts once in each, as
+    in a row-by-row match; ``dedupe=True`` leaves the fan-out out of the sums.
+    """
+    keyed = cube_rows(sends, rdm, snapshots, mail, jobs, start, end, dedupe)
     return keyed.groupBy(*CUBE_KEYS).agg(
         F.countDistinct("rut_medicion").alias("CLIENTES"),
         F.sum("canjes").alias("CANJES"),

@@ -15,7 +15,8 @@ from pyspark.sql.types import StructType
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
 from stampcard.functions import dates, ratios, text
 from stampcard.operators import (
-    attribution, encoding, evaluation, features, identity, intervals, lifecycle, metrics, model, pivots, planning, ranking, reports, rfm,
+    attribution, distinct, encoding, evaluation, features, identity, intervals, lifecycle, metrics, model, pivots, planning, ranking, reports,
+    rfm, validity,
 )
 from stampcard.plans import jobs
 from stampcard.plans.marts import Marts
@@ -267,6 +268,35 @@ def _(m):
     return lifecycle.state_at(windows, states, {"inicio_vigencia": "state_pre", "fin_vigencia": "state_post"})
 
 
+@query("c6_from_intervals", "C6")
+def _(m):
+    return validity.month_end_asof(m.state_intervals(), m.calendar(), START)
+
+
+@query("c6_interval_sizes", "C6")
+def _(m):
+    return validity.form_sizes(m.snapshots(), m.state_intervals())
+
+
+@query("c7_from_intervals", "C7")
+def _(m):
+    windows = m.sends().select("nombre_campanha", "rut", "inicio_vigencia", "fin_vigencia")
+    lookups = {"state_pre": ("inicio_vigencia", "tipo_canjeador"), "state_post": ("fin_vigencia", "tipo_canjeador")}
+    return validity.state_on(windows, m.redeemer_intervals(), m.calendar(), lookups, "rut")
+
+
+@query("c7_last_state", "C7")
+def _(m):
+    asked = m.sends().select("nombre_campanha", "rut", (F.col("fecha_envio") + F.expr("INTERVAL 9 DAY")).cast("date").alias("on_day"))
+    return validity.last_state(asked, m.redeemer_intervals(), "on_day", "tipo_canjeador", "last_state", "rut")
+
+
+@query("c7_interval_sizes", "C7")
+def _(m):
+    daily = m.snapshots().where(F.col("partition_date") >= F.lit(START))
+    return validity.form_sizes(daily, m.redeemer_intervals())
+
+
 @query("c8_needed_states", "C8")
 def _(m):
     states = lifecycle.states_on(m.snapshots(), metrics.send_days(m.sends()), START)
@@ -288,6 +318,20 @@ def _(m):
 # --- aggregations ------------------------------------------------------------------------------
 
 
+@query("d3_customers_by_campaign", "D3 H22")
+def _(m):
+    keys = ["FECHA_ENVIO", "NOMBRE_CAMPANHA", "GMGC", "FLAG_CANJE"]
+    added = m.metrics().groupBy(*keys).agg(F.sum("CLIENTES").alias("CLIENTES_SUMADOS"))
+    counted = distinct.customers_by(m.cube_customers(), keys)
+    same = [added[k].eqNullSafe(counted[k]) for k in keys]
+    return added.join(counted, same).select(*[added[k] for k in keys], "CLIENTES_SUMADOS", "CLIENTES")
+
+
+@query("d3_customers_by_channel", "D3 H22")
+def _(m):
+    return distinct.customers_by(m.cube_customers(), ["CANAL_CANJE", "GMGC"])
+
+
 @query("d8_flag_modes", "D8 C4")
 def _(m):
     return attribution.attribute_redemptions(m.sends(), m.redemptions(), START, END, mode="both")

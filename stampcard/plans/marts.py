@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0, Fixtures
-from stampcard.operators import attribution, features, metrics, rfm
+from stampcard.operators import attribution, distinct, features, lifecycle, metrics, rfm, validity
 from stampcard.plans.jobs import Entities
 from stampcard.session import materialize
 
@@ -40,6 +40,19 @@ class Marts(Fixtures):
     def snapshots(self) -> DataFrame:
         return self._store("snapshots", self.funnel, ["partition_date"])
 
+    def calendar(self) -> DataFrame:
+        return self._store("calendar", lambda: validity.snapshot_calendar(self.snapshots()))
+
+    def state_intervals(self) -> DataFrame:
+        return self._store("state-intervals", lambda: validity.state_intervals(self.snapshots(), self.calendar()))
+
+    def redeemer_intervals(self) -> DataFrame:
+        def build() -> DataFrame:
+            states = lifecycle.canjeador(validity.month_end_asof(self.state_intervals(), self.calendar(), START))
+            return validity.state_intervals(states.select("partition_date", "cust_id", "tipo_canjeador"), self.calendar())
+
+        return self._store("redeemer-intervals", build)
+
     def features(self) -> DataFrame:
         build = lambda: features.customer_features(self.clients(), self.trx(), self.redemptions(), T0, CHANNELS)
         return self._store("features", build)
@@ -54,6 +67,16 @@ class Marts(Fixtures):
         )
         return self._store("metrics", build)
 
+    def cube_customers(self) -> DataFrame:
+        """Customers of each cell of ``metrics`` as bitmaps."""
+        def build() -> DataFrame:
+            rows = self._store("cube-rows", lambda: metrics.cube_rows(
+                self.sends(), self.redemptions(), self.snapshots(), self.mail_sent(), self.mail_job(), START, END
+            ).select(*metrics.CUBE_KEYS, "rut_medicion").distinct())
+            return distinct.customer_bitmaps(rows, metrics.CUBE_KEYS, "rut_medicion", distinct.customer_codes(rows, "rut_medicion"))
+
+        return self._store("cube-customers", build)
+
     def attributed(self) -> DataFrame:
         build = lambda: metrics.score_attributed(
             attribution.attribute_redemptions(self.sends(), self.redemptions(), START, END), self.rfm(), rfm.NO_SCORE
