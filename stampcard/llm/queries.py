@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -96,28 +97,49 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_LICENCE_SQL = r"""
-WITH known(name, norm) AS (VALUES {known}),
+def _licence_sql() -> str:
+    """Licences by the same table in other words: cuts doubled, so that each sentence has its own at both ends; sentences as rows."""
+    known = licences.usual_sentences()
+    marked = "translate(lower(coalesce(text, '')), chr(1) || chr(2), '  ')"
+    for pattern, to in licences.STEPS:
+        marked = f"regexp_replace({marked}, {_quoted(pattern.replace('(?dm)', '(?m)'))}, {_quoted(re.sub('[$]([0-9])', lambda m: chr(92) + m[1], to))}, 'g')"
+    shapes = licences.known_pattern(known, r"\n\n", r"\x01\x01")
+    slots = " ".join(f"WHEN regexp_matches(norm, {_quoted(shape)}) THEN {_quoted(name)}" for name, shape in licences.slot_patterns(known))
+    plain = ", ".join(f"({_quoted(name)}, {_quoted(licences.normal_sentence(x))})" for name, x in known.items() if "{}" not in x)
+    rules = ", ".join(f"({_quoted(name)}, {_quoted('|' + '|'.join(ids) + '|')})" for name, ids in licences.usual_rules())
+    guard = "'|bsd-binary|list-item'"
+    return f"""
+WITH known(name, sentence) AS (VALUES {plain}),
 rules(licence, ids) AS (VALUES {rules}),
-cut AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.;!?])\s+([^0-9\s])', '\1' || chr(10) || '\2', 'g'), chr(10))) AS sentence FROM documents
+marked AS (
+  SELECT doc_id, chr(1) || trim({marked}) || chr(1) AS line FROM documents
+  WHERE regexp_matches(lower(coalesce(text, '')), {_quoted('|'.join(licences.triggers(known)))})
 ),
-placed AS (SELECT doc_id, row_number() OVER () AS place, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS norm FROM cut),
+twice AS (SELECT doc_id, replace(replace(line, chr(10), chr(10) || chr(10)), chr(1), chr(1) || chr(1)) AS line FROM marked),
+taken AS (SELECT doc_id, regexp_extract_all(line, {_quoted(f"(?:[{chr(92)}n{chr(92)}x01]|{chr(92)}x02{chr(92)}x01{chr(92)}x01)(?:{shapes})[{chr(92)}n{chr(92)}x01]|{chr(92)}x02")}) AS found FROM twice),
+cut AS (SELECT doc_id, unnest(found) AS raw, generate_subscripts(found, 1) AS place FROM taken),
+cleaned AS (SELECT doc_id, place, trim(regexp_replace(raw, '[ {chr(92)}n{chr(92)}x01{chr(92)}x02]+', ' ', 'g')) AS norm FROM cut),
+tags AS (
+  SELECT doc_id, place, string_split(CASE WHEN starts_with(norm, 'spdx license identifier ')
+    THEN regexp_replace(norm, {_quoted(licences.tag_chain(known))}, chr(1) || 'spdx license identifier {chr(92)}1', 'g') ELSE norm END, chr(1)) AS norms FROM cleaned
+),
+placed AS (SELECT doc_id, 1000 * place + generate_subscripts(norms, 1) AS place, unnest(norms) AS norm FROM tags),
 named AS (
-  SELECT doc_id, place, CASE WHEN regexp_matches(p.norm, '^copyright [0-9c]') THEN 'copyright' ELSE name END AS id FROM placed p LEFT JOIN known k ON k.norm = p.norm
+  SELECT doc_id, place, CASE WHEN norm = '' THEN 'list-item' WHEN regexp_matches(norm, '^copyright [0-9c]') THEN 'copyright' WHEN name IS NOT NULL THEN name {slots} END AS id
+  FROM placed LEFT JOIN known ON sentence = norm
 ),
-joined AS (SELECT doc_id, string_agg(id, '|' ORDER BY place) AS ids FROM named WHERE id IS NOT NULL GROUP BY doc_id)
+lined AS (SELECT doc_id, '|' || string_agg(id, '|' ORDER BY place) AS ids FROM named WHERE id IS NOT NULL GROUP BY doc_id),
+joined AS (
+  SELECT doc_id, substr(replace(replace(replace(ids, {guard}, '|bsd-binary|+'), '|list-item', ''), '|+', '|list-item'), 2) AS ids FROM lined
+)
 SELECT d.doc_id, coalesce(j.ids, '') AS sentence_ids,
   coalesce((SELECT string_agg(DISTINCT licence, ',' ORDER BY licence) FROM rules r WHERE contains('|' || j.ids || '|', r.ids)
     AND NOT EXISTS (SELECT 1 FROM rules o WHERE o.ids <> r.ids AND contains(o.ids, r.ids) AND contains('|' || j.ids || '|', o.ids))), '') AS licences
 FROM documents d LEFT JOIN joined j ON j.doc_id = d.doc_id
-""".format(
-    known=", ".join(f"({_quoted(name)}, {_quoted(licences.normal_sentence(s))})" for name, s in licences.SENTENCES.items()),
-    rules=", ".join(f"({_quoted(name)}, {_quoted('|' + '|'.join(ids) + '|')})" for name, ids in licences.RULES),
-)
+"""
 
 
-@query("op7_licence_scan", _LICENCE_SQL)
+@query("op7_licence_scan", _licence_sql())
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.array_join("sentence_ids", "|").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
