@@ -33,21 +33,41 @@ UNIFORM = 0.1
 #: Documents that the query labels for training, about so many, chosen by a hash of their id.
 TRAIN_DOCS = 2000
 
+#: Pieces folded together; even, so that a block begins outside a match.
+BLOCK = 256
+
 _MARK, _OTHER = "\x01", "\x02"
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches that ``keep`` accepts. Marks are set around matches; odd pieces of the cut text are the matches."""
+    """Spans of the matches that ``keep`` accepts. Marks are set around matches; odd pieces of the cut text are the matches.
+
+    Pieces are folded by blocks, whose starts come first, as a list that grows within one fold is copied at each step.
+    """
     pieces = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK)
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  (evaluates ``value`` once)
+
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks: Column) -> Column:
+        long = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, piece: n + F.length(piece)))
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(long, state, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+
+    def fold(block: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+        def step(s: Column, piece: Column) -> Column:
+            end = s["at"] + F.length(piece)
+            span = F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"] & keep(piece), F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
-        span = F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"] & keep(piece), F.array_append(s["found"], span)).otherwise(s["found"]).alias("found"))
+        return F.aggregate(block, state, step, lambda s: s["found"])
 
-    return F.aggregate(pieces, state, step, lambda s: s["found"])
+    return bound(bound(pieces, cut), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), fold)))
 
 
 def _none() -> Column:

@@ -64,6 +64,20 @@ def test_odd_rows(docs, odd_rows, model):
     assert secrets.find_secrets(docs([]), model).count() == 0
 
 
+def test_many_matches_in_one_text(docs, model):
+    """The time grows with the matches, not with their square; spans hold over the borders of blocks."""
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join(f"{k:024x}" for k in range(n)) + " token=abcdef"
+        start = time.time()
+        spans = secrets.find_secrets(docs([(1, text)]), model).select(F.size("base").alias("n"), F.element_at("base", -2).alias("last"), F.expr("base[255]").alias("inner")).first()
+        took.append(time.time() - start)
+        assert spans.n == n + 1 and tuple(spans.last) == (25 * (n - 1), 2, 25 * n - 1) and tuple(spans.inner) == (25 * 255, 2, 25 * 255 + 24)
+    assert took[1] < 8 * took[0] + 5
+
+
 def test_held_out_accuracy(spark, model):
     rng = random.Random(9)
     words = [w for r in table(spark, SF_SMALL, "documents").select("text").collect() for w in re.findall("[A-Za-z]{5,}", r.text)]
