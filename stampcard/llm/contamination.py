@@ -9,7 +9,10 @@ A document and an item that share enough windows are compared token by token alo
 aligned placeholders at least ``SIMILARITY`` must map the item's value to the document value that it mostly maps to. The item is in the document
 if consistent alignments cover ``SIMILARITY`` of its tokens, or one covers a stretch of ``RUN`` tokens without a gap.
 
-Items of fewer than ``WINDOW`` tokens are never found. Null or empty texts hold nothing, and items with a null id are left out. Rows
+Items that these windows would not find in a copy of themselves (too few words among numbers and names, too few tokens, scripts without spaces) are
+searched word by word instead: their units (words and numbers as they are, each character of a script without spaces) are found by windows of
+``WINDOW`` units and must all follow in the document. Items of fewer than ``WINDOW`` units are never found, as they stand in texts that have nothing to do with them.
+An empty table on either side gives no leak; texts of any length are read whole; of ties between alignments each counts by itself. Null or empty texts hold nothing, and items with a null id are left out. Rows
 that repeat both id and text are one document and get the same result; other columns pass through, except those named like the output's.
 """
 
@@ -40,6 +43,8 @@ LITERAL, NUMBER, UNIT, NAME, GLUED = 1, 2, 3, 4, 5
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _GLUED = re.compile(r"(\d)([A-Za-z])")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+#: Words, and single characters of scripts that have no spaces (Thai, Lao, Burmese, Khmer, kana, Han).
+_UNIT = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])[^\\W_])+")
 _MARKS = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0], np.uint64)
 
 
@@ -199,6 +204,77 @@ def aligned(doc: Tokens, item: Tokens, doc_words: list[str], item_words: list[st
     return float(covered.mean()) if size else 0.0, longest
 
 
+def units(text: str) -> list[str]:
+    return _UNIT.findall(text.lower())
+
+
+def found_in_itself(text: str) -> bool:
+    """Whether the windows of an item find a copy of it."""
+    own, words = tokens_of([text], Words())[0], raw_words(text)
+    coverage, longest = aligned(own, own, words, words)
+    return coverage >= SIMILARITY or longest >= RUN
+
+
+class UnitCodes(dict):
+    def __missing__(self, unit: str) -> int:
+        code = self[unit] = xxhash.xxh64_intdigest(unit)
+        return code
+
+
+def unit_windows(df: DataFrame, key: str, text_col: str, first_only: bool) -> DataFrame:
+    """``key, h``: the different windows of ``WINDOW`` units of each text, or its first one."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("hs", T.ArrayType(T.LongType(), False))])
+
+    def run(batches):
+        codes = UnitCodes()
+        for part, texts in slices(batches, text_col):
+            if len(codes) > 300_000:
+                codes = UnitCodes()
+            hashes = []
+            for text in texts:
+                code = np.fromiter(map(codes.__getitem__, units(text)), np.uint64)
+                n = min(max(0, len(code) - WINDOW + 1), 1 if first_only else len(code))
+                h = np.zeros(n, np.uint64)
+                for k in range(WINDOW):
+                    h += code[k : k + n] * np.uint64(pow(0x9E3779B185EBCA87, k + 1, 1 << 64))
+                hashes.append(np.unique(h).view(np.int64))
+            flat = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(key), list_array(flat, np.array([len(h) for h in hashes], np.int64), pa.int64())], names=schema.names)
+
+    return df.select(key, text_col).where(f"`{text_col}` <> ''").mapInArrow(run, schema).select(key, F.explode("hs").alias("h"))
+
+
+def exact_leaks(keyed: DataFrame, known: DataFrame) -> DataFrame | None:
+    """``rk, item, coverage, run`` of the items that the windows of ``leaks`` miss; None if there are no such items."""
+
+    def missed(batches):
+        for part, texts in slices(batches, "item_text"):
+            yield part.filter(pa.array([not found_in_itself(t) for t in texts], pa.bool_()))
+
+    asked = materialize(known.mapInArrow(missed, known.schema), "exact-items")
+    if asked.isEmpty():
+        return None
+    starts = materialize(unit_windows(asked, "item", "item_text", True).distinct(), "exact-windows")
+    met = unit_windows(keyed, "rk", "body", False).join(starts, "h").select("rk", "item").distinct().join(asked, "item")
+    candidates = materialize(met.groupBy("rk").agg(F.collect_list(F.struct("item", "item_text")).alias("asked")), "exact-candidates")
+    found = T.StructType([T.StructField("rk", T.LongType()), T.StructField("item", known.schema["item"].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("run", T.LongType())])
+
+    def verify(batches):
+        for part, texts in slices(batches, "body"):
+            out = []
+            for rk, text, items_ in zip(part.column("rk").to_pylist(), texts, part.column("asked").to_pylist()):
+                line = " " + " ".join(units(text)) + " "
+                for x in items_:
+                    own = units(x["item_text"])
+                    if " " + " ".join(own) + " " in line:
+                        out.append((rk, x["item"], 1.0, len(own)))
+            columns = list(zip(*out)) if out else [()] * 4
+            kinds = [pa.int64(), part.column("asked").type.value_type.field(0).type, pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=found.names)
+
+    return keyed.join(candidates, "rk").select("rk", "body", "asked").mapInArrow(verify, found)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``rk, item, coverage, run``: one row for each document (by row key) and item in it."""
     known = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("item_text")).where("item IS NOT NULL AND item_text IS NOT NULL")
@@ -228,7 +304,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             kinds = [pa.int64(), part.column("asked").type.value_type.field(0).type, pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=found.names)
 
-    return keyed.join(asked, "rk").select("rk", "body", "asked").mapInArrow(verify, found).distinct()
+    by_windows = keyed.join(asked, "rk").select("rk", "body", "asked").mapInArrow(verify, found)
+    exact = exact_leaks(keyed, known)
+    if exact is None:
+        return by_windows.distinct()
+    return by_windows.unionByName(exact).groupBy("rk", "item").agg(F.max("coverage").alias("coverage"), F.max("run").alias("run"))
 
 
 def mark(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
