@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import string
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,11 @@ def core(word: str) -> str:
 
 
 class Words(dict):
-    """Place of each raw word in arrays of kind, capital and code; filled as words are met."""
+    """Place of each raw word in arrays of kind, capital and code, and of the parts of each glued word; filled as words are met."""
 
     def __init__(self):
         self.kinds, self.capitals, self.codes = bytearray(), bytearray(), []
+        self.parts: dict[int, list[int]] = {}
 
     def __missing__(self, word: str) -> int:
         inner = core(word)
@@ -72,10 +74,13 @@ class Words(dict):
             kind = NUMBER
         else:
             kind = UNIT if low in UNITS else LITERAL
+        parts = [self[x] for x in raw_words(word)] if kind == GLUED else None  # these are not glued again
         self.kinds.append(kind)
         self.capitals.append(kind == LITERAL and inner[0].isupper())
         self.codes.append(xxhash.xxh64_intdigest(low))
         place = self[word] = len(self.kinds) - 1
+        if parts:
+            self.parts[place] = parts
         return place
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +128,19 @@ def hash_windows(kind: np.ndarray, capital: np.ndarray, code: np.ndarray, text:
 def windows_of(texts: list[str], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """For each text its folded windows, then those with names as slots, all in one array; and how many windows each text has."""
     words = [t.split() for t in texts]
-    places = np.fromiter((p for w in words for p in map(known.__getitem__, w)), np.int64)
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    places = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+    text = np.repeat(np.arange(len(texts)), counts)
     kinds, capitals, codes = known.arrays()
-    text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, words), np.int64, len(words)))
-    glued = np.unique(text[kinds[places] == GLUED])
+    glued = np.flatnonzero(kinds[places] == GLUED)
     if len(glued):
-        cut = list(texts)
-        for k in glued:
-            cut[k] = " ".join(raw_words(texts[k]))
-        return windows_of(cut, known)
+        parts = [known.parts[p] for p in places[glued].tolist()]
+        wide = np.ones(len(places), np.int64)
+        wide[glued] = [len(p) for p in parts]
+        part_of = np.repeat(glued, wide[glued])
+        within = np.arange(len(part_of)) - np.repeat(np.cumsum(wide[glued]) - wide[glued], wide[glued])
+        places, text = np.repeat(places, wide), np.repeat(text, wide)
+        places[(np.cumsum(wide) - wide)[part_of] + within] = np.fromiter(chain.from_iterable(parts), np.int64, len(part_of))
     kind = kinds[places]
     used = np.flatnonzero(kind)
     kind, text, places = kind[used], text[used], places[used]
