@@ -109,3 +109,31 @@ def test_saved_trees_score_alike(spark, frame, tmp_path):
 def test_one_kind_of_label_is_refused(frame):
     with pytest.raises(ValueError):
         boosting.fit(frame.where("y"), list("abcde"), "y")
+
+
+def jobs_of(spark, group, fit):
+    spark.sparkContext.setJobGroup(group, "jobs of a fit")
+    try:
+        fit()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+
+
+def test_a_level_is_one_job_at_most(spark, frame, monkeypatch):
+    """Whatever the partitions: no query of its own and no shuffle a level; no job a level if one task has all rows."""
+    s = Settings(trees=10, depth=3, bins=16)
+    assert jobs_of(spark, "few rows", lambda: boosting.fit(frame.repartition(3), list("abcde"), "y", s)) <= 14
+    monkeypatch.setattr(boosting, "FEW_ROWS", 0)
+    assert jobs_of(spark, "many rows", lambda: boosting.fit(frame.repartition(3), list("abcde"), "y", s)) <= 10 * 3 + 14
+
+
+@pytest.mark.parametrize("few_rows", [0, 25_000])
+def test_held_and_stored_margins_are_those_of_all_trees(frame, monkeypatch, few_rows):
+    s = Settings(trees=9, depth=3, bins=16)
+    whole = boosting.fit(frame, list("abcde"), "y", s, 3)
+    for name, value in (("HOLD_EVERY", 2), ("STORE_EVERY", 5), ("BLOCK_ROWS", 100), ("FEW_TASKS", 2), ("FEW_ROWS", few_rows)):
+        monkeypatch.setattr(boosting, name, value)
+    cut = boosting.fit(frame, list("abcde"), "y", s, 3)
+    for one, two in zip(whole.trees, cut.trees):
+        assert (one.inputs == two.inputs).all() and (one.cuts == two.cuts).all() and one.values == pytest.approx(two.values)
