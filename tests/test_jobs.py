@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from stampcard.fixtures import CHANNELS, END, SPEND, START, T0
 from stampcard.operators import isotonic, model
@@ -132,3 +132,19 @@ def test_a_range_of_days_is_replaced_whole(spark, tmp_path, monkeypatch):
         sinks.write_dates(frame([(9, day(9))]), path, "day", (day(1), day(7)))
     sinks.write_dates(frame([]), path, "day", (day(1), day(6)))
     assert read() == [(7, day(7))]
+
+
+def test_rows_of_a_task_do_not_grow_with_their_compression(spark):
+    """A million rows that compress to a few bytes each are not merged into a few tasks."""
+    from stampcard.session import ROWS_PER_PARTITION, spread_by_rows
+
+    names = [f"spark.sql.adaptive.coalescePartitions.{x}" for x in ("initialPartitionNum", "minPartitionNum", "minPartitionSize")]
+    try:
+        spread_by_rows(spark, 2_000_000)
+        days = spark.range(2_000_000).select((F.col("id") % 40_000).alias("cust_id"), F.lit("the same state on each day").alias("state"))
+        counted = days.withColumn("n", F.count("state").over(Window.partitionBy("cust_id"))).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+        most, total = counted.agg(F.max("rows"), F.sum("n")).first()
+        assert total == 2_000_000 * 50 and most <= 1.5 * ROWS_PER_PARTITION
+    finally:
+        for name in names:
+            spark.conf.unset(name)
