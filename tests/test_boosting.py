@@ -137,3 +137,11 @@ def test_held_and_stored_margins_are_those_of_all_trees(frame, monkeypatch, few_
     cut = boosting.fit(frame, list("abcde"), "y", s, 3)
     for one, two in zip(whole.trees, cut.trees):
         assert (one.inputs == two.inputs).all() and (one.cuts == two.cuts).all() and one.values == pytest.approx(two.values)
+
+
+def test_rows_of_a_few_tables_need_no_job_a_level(spark, monkeypatch):
+    """A sample of 30,000 rows: one task has the sums of a level long before a job has started."""
+    monkeypatch.setattr(boosting, "level_sums", None)
+    rows = spark.range(0, 30_000, 1, 4).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    fitted = boosting.fit(rows.withColumn("y", F.col("a") + F.col("b") > 1), ["a", "b"], "y", Settings(trees=2, depth=2, bins=16))
+    assert len(fitted.trees) == 2 and fitted.trees[0].inputs[0] >= 0
