@@ -145,3 +145,30 @@ def test_rows_of_a_few_tables_need_no_job_a_level(spark, monkeypatch):
     rows = spark.range(0, 30_000, 1, 4).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
     fitted = boosting.fit(rows.withColumn("y", F.col("a") + F.col("b") > 1), ["a", "b"], "y", Settings(trees=2, depth=2, bins=16))
     assert len(fitted.trees) == 2 and fitted.trees[0].inputs[0] >= 0
+
+
+def test_few_rows_walk_a_tree_once(monkeypatch):
+    """The task that has all rows goes on from the nodes of the level before, and gets the sums that blocks of the rows get."""
+    s = Settings(trees=4, depth=4, bins=16, rate=0.3)
+    x, y = sample()
+    bins = np.stack([np.searchsorted(np.quantile(c, np.arange(1, s.bins) / s.bins), c) for c in x.T], axis=1).astype(np.uint8)
+    none = np.zeros(len(y))
+    blocks = [boosting._packed(np.arange(len(y))[k : k + 300], y[k : k + 300], none[k : k + 300], none[k : k + 300], bins[k : k + 300]) for k in range(0, len(y), 300)]
+
+    class Rows(list):
+        def mapPartitions(self, run):
+            return Rows(run(iter(self)))
+
+        def collect(self):
+            return self
+
+    plain = []
+    for number in range(s.trees):
+        plain.append(boosting.grow(5, number, s, lambda *asked: boosting.part_sums(blocks, 5, plain, *asked)))
+    walked, nodes = [], boosting.Tree.nodes
+    monkeypatch.setattr(boosting.Tree, "nodes", lambda tree, rows, depth: walked.append(len(rows)) or nodes(tree, rows, depth))
+    for one, two in zip(boosting.few_rows_trees(Rows(blocks), 5, [], range(s.trees), s), plain, strict=True):
+        assert (one.inputs == two.inputs).all() and (one.cuts == two.cuts).all() and one.values == pytest.approx(two.values)
+    assert sum(walked) == len(y) * s.trees
+    walked_down = boosting.grown(none, bins, plain, s)
+    assert boosting.margins(bins, plain, s) == pytest.approx(walked_down)
