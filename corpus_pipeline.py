@@ -6,23 +6,38 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stampcard.llm import bpe, contamination, lines, quality, simhash
-from stampcard.llm.common import table
+from stampcard.llm.common import bound_batches, table
 from stampcard.session import materialize
 
 #: Edit similarity, hash components and merges are not expressible in SQL; the tests hold ``run`` against a plain version.
 ORACLE_SQL = None
 
 
+def stage(build: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose texts reach Python in batches of bounded size: workers live through all stages, and each keeps the memory of its largest batch."""
+    @wraps(build)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return build(spark, docs, sf_dir)
+
+    return bounded
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps."""
     return quality.ledger(docs).where(quality.verdict()).select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier document has; ``n_chars`` follows a changed text. A text may become empty."""
     done = lines.dedup_lines(docs)
@@ -30,16 +45,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", chars).select(*docs.columns)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints within 4 bits (shingles of 4 words): the smallest id, a null id only if there is no other."""
     return simhash.keep_one(docs)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
     return contamination.mark(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     rules = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -55,6 +73,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, build in STAGES:
+        docs = materialize(build(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
