@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stampcard.functions.ratios import band_pivot, spct
 from stampcard.functions.text import FUNNEL_LABELS, FUNNEL_ORDER, label_of, position_in
 from stampcard.operators.lifecycle import UNKNOWN_STATE
-from stampcard.operators.metrics import KNOWN_REDEEMER, NEW_REDEEMER
+from stampcard.operators.metrics import KNOWN_REDEEMER, NEW_REDEEMER, exact_sum
 from stampcard.operators.reports import clients_where
 from stampcard.operators.rfm import RFM_ORDER
 
@@ -32,7 +32,7 @@ def segment_cells(metrics: DataFrame, value_per_point: float = 0.01) -> DataFram
         clients_where(redeemed).cast("double").alias("redeemers"),
         clients_where(F.col("TIPO") == NEW_REDEEMER).cast("double").alias("no_history"),
         clients_where(F.col("GRUPO_CANJE_POST") == "NUEVO").cast("double").alias("new"),
-        F.coalesce(F.sum("PUNTOS_CANJEADOS"), F.lit(0)).cast("double").alias("points"),
+        F.coalesce(exact_sum(F.col("PUNTOS_CANJEADOS")), F.lit(0)).cast("double").alias("points"),
     )
     return sums.withColumns(
         {

@@ -11,7 +11,9 @@ from stampcard.functions import ratios
 from stampcard.functions.dates import year_month
 from stampcard.functions.ratios import floored_lift, rate, spct
 from stampcard.functions.text import FUNNEL_LABELS, FUNNEL_ORDER, base_key, is_redeemed, label_of, norm_campaign, position_in
+from stampcard.operators.metrics import exact_sum, narrowed
 from stampcard.operators.rfm import NO_SCORE, RFM_ORDER
+from stampcard.session import materialize
 
 
 def _treated() -> Column:
@@ -177,28 +179,30 @@ def conversion_block(metrics: DataFrame) -> DataFrame:
     """
     sums, derived = uplift_columns(_exact_flag())
     pre = F.col("GRUPO_CANJE_PRE")
-    points = F.coalesce(F.sum(F.when(_treated() & _exact_flag(), F.col("PUNTOS_CANJEADOS"))), F.lit(0))
+    points = F.coalesce(exact_sum(F.when(_treated() & _exact_flag(), F.col("PUNTOS_CANJEADOS"))), F.lit(0))
     rolled = metrics.groupBy(F.col("NOMBRE_CAMPANHA").alias("campaign")).agg(
         *sums,
         clients_where(_treated() & _exact_flag() & (pre == "NO_CANJEADOR_HISTORICO")).alias("new_redeemers"),
         clients_where(_treated() & _exact_flag() & (pre == "FUGADOS")).alias("recovered"),
         clients_where(_treated() & _exact_flag() & (pre == "RECURRENTE")).alias("recurrent"),
-        points.cast("bigint").alias("points_gm"),
+        points.alias("points_gm"),
     )
     out = rolled.withColumns(derived).withColumn("activated", F.col("new_redeemers") + F.col("recovered"))
     out = out.withColumn("activated_pct", spct(F.col("activated"), F.col("total_gm")))
-    return incremental(out)
+    return narrowed(materialize(incremental(out), "conversion"), "points_gm", "incremental_points")
 
 
 def incremental(block: DataFrame) -> DataFrame:
     gain = (F.col("pct_gm") / 100 - F.col("pct_gc") / 100) * F.col("total_gm")
     extra = F.greatest(F.lit(0).cast("bigint"), gain.cast("bigint"))
-    per_redeemer = F.col("points_gm") / F.greatest(F.col("redeemers_gm"), F.lit(1))
+    per_redeemer = F.col("points_gm").cast("double") / F.greatest(F.col("redeemers_gm"), F.lit(1))
     out = block.withColumn("incremental", extra)
+    won = F.col("incremental") * per_redeemer
+    whole = F.when(won < 2.0**63, won.cast("bigint")).otherwise((won - won % 1).cast("decimal(38,0)"))
     return out.withColumns(
         {
             "incremental_pct": spct(F.col("incremental"), F.col("total_gm")),
-            "incremental_points": (F.col("incremental") * per_redeemer).cast("bigint"),
+            "incremental_points": whole,
         }
     )
 

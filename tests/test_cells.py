@@ -6,7 +6,7 @@ import datetime as dt
 
 import pytest
 
-from stampcard.operators import distinct, identity, metrics
+from stampcard.operators import distinct, identity, metrics, pivots, reports
 from stampcard.plans import marts
 
 _ROWS = "FECHA_ENVIO date, NOMBRE_CAMPANHA string, TIPO_CLIENTE string, CANAL_CANJE string, GMGC string, FLAG_CANJE string, TIPO string, GRUPO_CANJE_PRE string, GRUPO_CANJE_POST string, rut_medicion bigint, canjes bigint, puntos bigint"
@@ -59,3 +59,29 @@ def test_sends_of_a_campaign_are_not_gathered_for_its_spellings(spark, unbroadca
     joins = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [nombre_campanha" in x and "LeftOuter" in x and "name_key" not in x]
     assert joins and all("BroadcastHashJoin" in x for x in joins)
     assert {(r.rut_medicion, r.weight) for r in rows.collect()} == {(0, 2), (1, 4), (2, 2), (3, 2)}
+
+
+@pytest.fixture
+def great_cells(spark):
+    """Three customers of a cell whose sums pass 2^63, and a cell whose sums do not."""
+    cell = (dt.date(2000, 1, 5), "c", "BANCO", "App", "GM", "CANJEO", metrics.KNOWN_REDEEMER, "FUGADOS", "NUEVO")
+    rows = [(*cell, k, 2**61, -(2**62)) for k in range(3)] + [(*cell[:4], "GC", *cell[5:], 1, 2, -5), (*cell[:4], "GC", "NO CANJEO", *cell[6:], 2, None, None)]
+    return metrics.customer_cells(spark.createDataFrame(rows, _ROWS))
+
+
+def test_sums_beyond_bigint_are_whole(spark, great_cells):
+    cube = metrics.counted_cells(great_cells)
+    found = {(r.GMGC, r.FLAG_CANJE): (r.CLIENTES, r.CANJES, r.PUNTOS_CANJEADOS) for r in cube.collect()}
+    assert found == {("GM", "CANJEO"): (3, 3 * 2**61, 3 * 2**62), ("GC", "CANJEO"): (1, 2, 5), ("GC", "NO CANJEO"): (1, None, None)}
+    assert dict(cube.dtypes)["CANJES"] == "bigint" and dict(cube.dtypes)["PUNTOS_CANJEADOS"] == "decimal(38,0)"
+    small = metrics.counted_cells(great_cells.where("GMGC = 'GC'"))
+    assert dict(small.dtypes)["CANJES"] == dict(small.dtypes)["PUNTOS_CANJEADOS"] == "bigint"
+
+
+def test_reports_add_up_points_beyond_bigint(spark, great_cells):
+    cube = metrics.counted_cells(great_cells)
+    assert {r.cell: r.points for r in pivots.segment_cells(cube).collect()} == {"BANCO_HIST_GM": float(3 * 2**62), "BANCO_HIST_GC": 5.0}
+    block = reports.conversion_block(cube).first()
+    assert (block.points_gm, block.redeemers_gm, block.incremental, block.incremental_points) == (3 * 2**62, 3, 1, 2**62)
+    fitting = metrics.counted_cells(great_cells.where("rut_medicion < 1"))
+    assert reports.conversion_block(fitting).first().points_gm == 2**62
