@@ -172,3 +172,39 @@ def test_few_rows_walk_a_tree_once(monkeypatch):
     assert sum(walked) == len(y) * s.trees
     walked_down = boosting.grown(none, bins, plain, s)
     assert boosting.margins(bins, plain, s) == pytest.approx(walked_down)
+
+
+def test_a_level_reads_the_lesser_siblings_only(frame):
+    """The sums of a node are those of its children, so at most half the open nodes are asked for, and the trees are those of all of them."""
+    s = Settings(trees=1, depth=5, bins=16, rate=0.3, child_weight=1.0)
+    x, y = sample()
+    bins = np.stack([np.searchsorted(np.quantile(c, np.arange(1, s.bins) / s.bins), c) for c in x.T], axis=1).astype(np.uint8)
+    none, asked = np.zeros(len(y)), []
+    block = boosting._packed(np.arange(len(y)), y, none, none, bins)
+
+    def sums(tree, level, number, chosen, nodes, settings):
+        asked.append(nodes)
+        return boosting.part_sums([block], 5, [], tree, level, number, chosen, nodes, settings)
+
+    tree = boosting.grow(5, 0, s, sums)
+    splits = [np.count_nonzero(tree.inputs[(1 << k) - 1 : (2 << k) - 1] >= 0) for k in range(s.depth)]
+    assert [len(nodes) for nodes in asked] == [1, *splits[:-1]] and splits[2] > 2
+    for nodes in asked[1:]:
+        assert len({(n - 1) // 2 for n in nodes}) == len(nodes)
+
+
+def test_many_rows_take_a_task_a_core(spark, monkeypatch):
+    """Not a task for each so many rows: a level is one round of tasks, and their sums go to the driver at once."""
+    parts, sums = [], boosting.level_sums
+    monkeypatch.setattr(boosting, "FEW_ROWS", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(boosting, "level_sums", lambda blocks, *asked: parts.append(blocks.getNumPartitions()) or sums(blocks, *asked))
+    rows = spark.range(0, 4000, 1, 4).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    boosting.fit(rows.withColumn("y", F.col("a") + F.col("b") > 1), ["a", "b"], "y", Settings(trees=1, depth=2, bins=16), 40)
+    assert set(parts) == {spark.sparkContext.defaultParallelism}
+
+
+def test_scores_keep_the_columns_asked_for(frame):
+    fitted = boosting.fit(frame, list("abcde"), "y", Settings(trees=3, depth=2))
+    kept = fitted.score(frame, "p", ["y", "id"])
+    assert kept.columns == ["y", "id", "p"] and kept.exceptAll(fitted.score(frame, "p").select("y", "id", "p")).count() == 0
